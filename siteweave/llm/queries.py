@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteweave.llm import decontaminate, line_dedup, quality_rules, url_filter
+from siteweave.llm import decontaminate, jaccard_join, line_dedup, quality_rules, url_filter
 from siteweave.llm.common import table
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).drop("score")
 
@@ -31,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": url_filter.oracle(), "op10_benchmark_decontamination": decontaminate.oracle()}
+    return {"op5_ngram_jaccard_join": jaccard_join.oracle(4, 85), "op7_url_filters": url_filter.oracle(), "op10_benchmark_decontamination": decontaminate.oracle()}
