@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteweave.llm import decontaminate, jaccard_join, line_dedup, quality_rules, url_filter
+from siteweave.llm import decontaminate, jaccard_join, line_dedup, pieces, quality_rules, url_filter
 from siteweave.llm.common import table
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
 
