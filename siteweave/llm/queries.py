@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteweave.llm import decontaminate, jaccard_join, line_dedup, pieces, quality_rules, url_filter
+from siteweave.llm import decontaminate, html_main, jaccard_join, line_dedup, pieces, quality_rules, url_filter
 from siteweave.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).drop("score")
 
