@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteweave.llm import decontaminate, html_main, jaccard_join, line_dedup, pieces, quality_rules, url_filter
+from siteweave.llm import decontaminate, html_main, jaccard_join, language_id, line_dedup, pieces, quality_rules, url_filter
 from siteweave.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
 
