@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,5 +38,23 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Size of the filters below; full ones let more pass, they never lose a key.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A one-hash Bloom filter (64-bit words) of the long column of keys; at most bits / 64 rows are collected, whatever the input."""
+    slot = F.col(keys.columns[0]).bitwiseAND(F.lit(bits - 1))
+    words = keys.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(`{keys.columns[0]}` & 63 as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def in_filter(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys.astype(np.int64) & (len(filter_) * 64 - 1)
+    return (filter_[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)

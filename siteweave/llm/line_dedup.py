@@ -5,8 +5,8 @@ is 0 modulo EVERY, so that boundaries depend on nearby lines only and recover af
 two lines whose bytes also occur as an earlier chunk (smaller doc_id, or the same document further up) is removed.
 
 Plan: (1) light rows (hashes, length, place) of all multi-line chunks are aggregated by hash, with partial aggregation
-before the shuffle, so a chunk that a third of the rows share costs one row a task; (2) chunks of repeated hashes are
-re-read with their bytes and grouped by the bytes themselves, which is the comparison; (3) the places to remove are
+before the shuffle, so a chunk that a third of the rows share costs one row a task; (2) a Bloom filter of fixed
+size lets the chunks of repeated hashes pass with their bytes, and they are grouped by the bytes themselves, which is the comparison; (3) the places to remove are
 gathered per document and joined to the texts. AQE splits skewed sides of the joins. No cap on copies.
 
 Defined results: null text counts as empty; an empty text is one empty line; repeated rows with one doc_id are
@@ -19,13 +19,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteweave.llm.common import durable
+from siteweave.llm.common import durable, in_filter, key_filter
 
 #: Lines in the rolling window, and the modulus that sets the mean chunk.
 WINDOW, EVERY = 2, 2
@@ -45,8 +47,8 @@ def chunks(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def _places(docs: DataFrame, with_bytes: bool) -> DataFrame:
-    """doc_id, chunk number, 128-bit hash in two longs, length (and bytes) of every chunk of two lines or more."""
+def _places(docs: DataFrame, only: Broadcast | None = None) -> DataFrame:
+    """doc_id, chunk number, 128-bit hash in two longs and length of every chunk of two lines or more; with ``only``, of those whose h1 passes that filter, with their bytes."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -57,22 +59,31 @@ def _places(docs: DataFrame, with_bytes: bool) -> DataFrame:
                     if z - a > 1:
                         body = b"\n".join(lines[a:z])
                         h = xxhash.xxh3_128_digest(body)
-                        out.append((i, no, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), len(body), *([body] if with_bytes else [])))
-            yield pd.DataFrame(out, columns=["doc_id", "no", "h1", "h2", "size", *(["body"] if with_bytes else [])])
+                        out.append((i, no, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), len(body), body))
+            got = pd.DataFrame(out, columns=["doc_id", "no", "h1", "h2", "size", "body"])
+            yield got.drop(columns="body") if only is None else got[in_filter(only.value, got["h1"].to_numpy(np.int64))]
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(rows, "doc_id long, no int, h1 long, h2 long, size int" + ", body binary" * with_bytes)
+    schema = "doc_id long, no int, h1 long, h2 long, size int" + ", body binary" * (only is not None)
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(rows, schema)
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id and the numbers of its chunks that are copies of an earlier chunk."""
     place = F.struct("doc_id", "no")
-    repeated = durable(_places(docs, False).groupBy("h1", "h2", "size").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("h1", "h2", "size"))
-    copies = durable(_places(docs, True).join(repeated, ["h1", "h2", "size"]).select("h1", "h2", "doc_id", "no", "body"))
-    first = copies.groupBy("h1", "h2", "body").agg(F.min(place).alias("low"))
+    repeated = durable(_places(docs).groupBy("h1", "h2", "size").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("h1", "h2", "size"))
+    only = docs.sparkSession.sparkContext.broadcast(key_filter(repeated.select("h1")))
+    copies = durable(_places(docs, only).join(repeated, ["h1", "h2", "size"]).select("h1", "h2", "doc_id", "no", "body"))
+    first = durable(copies.groupBy("h1", "h2", "body").agg(F.min(place).alias("low")))  # written: a join of two plain exchanges can split a hot key
     later = copies.join(first, ["h1", "h2", "body"]).filter(place != F.col("low"))
     return later.groupBy("doc_id").agg(F.collect_set("no").alias("gone"))
 
 
+def _with_removals(docs: DataFrame) -> DataFrame:
+    """docs with the column gone. Always a merge join: the removals grow with the corpus."""
+    found = removals(docs).withColumnRenamed("doc_id", "__found").hint("merge")
+    return docs.join(found, docs["doc_id"] == F.col("__found"), "left").drop("__found")
+
+
 def _kept(text: str | None, gone: list[int] | None) -> tuple[int, int, str]:
     lines, cut = (text or "").split("\n"), set(gone if gone is not None else ())
     keep = [x for no, (a, z) in enumerate(chunks(text)) if no not in cut for x in lines[a:z]] if cut else lines
@@ -84,8 +95,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A text without removals, null included, stays as it is.
     """
-    found = removals(docs).withColumnRenamed("doc_id", "__found")
-    joined = docs.join(found, docs["doc_id"] == F.col("__found"), "left").drop("__found")
+    joined = _with_removals(docs)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,8 +114,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of the remaining lines' UTF-8 bytes."""
-    found = removals(docs).withColumnRenamed("doc_id", "__found")
-    joined = docs.select("doc_id", "text").join(found, F.col("doc_id") == F.col("__found"), "left").select("doc_id", "text", "gone")
+    joined = _with_removals(docs.select("doc_id", "text"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
