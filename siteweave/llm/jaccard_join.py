@@ -1,23 +1,22 @@
-"""N-gram Jaccard join: word-shingle sets, ordered globally, joined in prefix trees, and the components of the links.
+"""N-gram Jaccard join: word-shingle sets, ordered globally by document frequency, joined in prefix trees; components of the links.
 
 Two documents link when 100 * |intersection| >= percent * |union|. Exact, without caps on partners:
 
-1. ``digest``: a row per document: number of shingles and a 63-bit signature of its set. Documents of equal sets
-   are one node from here on, so exact copies cost nothing further.
-2. ``frequencies``: document frequencies of all shingles (packed, pre-aggregated per task). The MOST_FREQUENT most
-   frequent ones come to the driver and are broadcast (12 bytes each); they order the sets: rare shingles first. The
-   order only steers the work; any order gives the same links.
-3. ``candidates``: two sets that link share a shingle among the first n - ceil(percent * n / 100) + 1 of either.
-   Tasks send one row per shingle of theirs, join what they hold themselves, and so a shingle of a third of all rows costs
-   one row a task. The components of "shares such a shingle" are the candidate clusters.
-4. ``_tree_links``: the sets of a cluster form a prefix tree, most frequent first within the cluster; each set walks it once,
-   sharing the overlap of shared prefixes and leaving subtrees whose sizes and remaining lengths can't reach the threshold or
-   that are linked already. A cluster beyond BLOCK_SETS or BLOCK_SHINGLES is split into blocks by signature, and each pair of
-   blocks is a task's group of bounded size; the links of the blocks are then joined by ``components``.
-
-Defined results: null or empty text has no shingles, links with nothing, and is its own component. Repeated rows with
-one doc_id give a row each; rows with a null doc_id give a component_id of the smallest non-null doc_id of the component, or null.
-Other columns are ignored here and kept by ``drop_near_duplicates``.
+1. ``frequencies``: tasks send the 32-bit hashes of all shingles, packed, to buckets, which count them and answer each group of documents
+   (by hash of the row) with the document frequencies above one of its shingles.
+2. ``prefixes``: with these the sets of a group are ordered, rare shingles first. Two sets that link share a shingle among the first
+   n - ceil(percent * n / 100) + 1 of either, and shingles of one document only are shared by none; so a set is kept only
+   with the repeated shingles of its prefix, and most documents leave here. Documents of equal sets are one node (63-bit signature).
+3. ``candidates``: tasks send one row per prefix shingle of theirs and join what they hold themselves, so that a shingle of a
+   third of all rows costs one row a task. The components of "shares a prefix shingle" are the candidate clusters.
+4. ``tree_links``: the sets of a cluster form a prefix tree, most frequent shingles first; each set walks it once, sharing the
+   overlap of shared prefixes and leaving subtrees whose sizes and remaining lengths can't reach the threshold or that are linked already.
+   A cluster beyond BLOCK_SETS or BLOCK_SHINGLES is split into blocks by signature, and each pair of blocks is a group of bounded
+   size; the links of the blocks are then joined by ``components``.
+
+Defined results: null or empty text has no shingles, links with nothing, and is its own component. Repeated rows with one doc_id give a
+row each; rows with a null doc_id give as component_id the smallest non-null doc_id of the component, or null. Other columns are
+ignored here and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -33,7 +32,8 @@ from siteweave.llm.bytehash import U, forest, mix, pieces, shingle_sets
 from siteweave.llm.common import LOWER, UPPER, durable
 from siteweave.llm.components import components
 
-MOST_FREQUENT, FREQUENT_FROM = 500_000, 12
+#: Bytes of input a group of documents and a bucket of hashes stand for; sets and shingles of a block.
+GROUP_BYTES, LEAST_GROUPS = 16 << 20, 16
 BLOCK_SETS, BLOCK_SHINGLES = 2000, 4_000_000
 
 
@@ -43,119 +43,126 @@ def signature(s: np.ndarray) -> int:
     return int(h[0] >> U(1))
 
 
-def _buckets(docs: DataFrame) -> int:
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+def _groups(docs: DataFrame) -> int:
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(LEAST_GROUPS, -(-size // GROUP_BYTES))
 
 
-def digest(docs: DataFrame, words: int) -> DataFrame:
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [s for _, run in pieces(b["text"]) for s in shingle_sets(run, words)]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "sig": [signature(s) for s in sets]})
-
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, sig long")
+def _cuts(n: int) -> np.ndarray:
+    """Ends of all but the last of n equal ranges of 32-bit hashes."""
+    return (np.arange(1, n, dtype=U) << U(32)) // U(n)
 
 
-def frequencies(docs: DataFrame, words: int) -> DataFrame:
-    """hash32, count of the shingles' 32-bit hashes that are in at least FREQUENT_FROM documents."""
-    n_buckets = _buckets(docs)
+def frequencies(docs: DataFrame, words: int, n: int) -> DataFrame:
+    """(grp, hashes, counts): for each group of docs(grp, text), its shingles' 32-bit hashes that occur in more than one document, packed."""
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
 
         def flush() -> pd.DataFrame:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            cut = np.searchsorted(h, (np.arange(1, n_buckets, dtype=np.uint64) << U(32)) // U(n_buckets)).tolist()
             rows = []
-            for k, (a, z) in enumerate(zip([0, *cut], [*cut, len(h)], strict=True)):
-                many = n[a:z] > 1
-                rows.append((k, h[a:z][~many].tobytes(), h[a:z][many].tobytes(), n[a:z][many].astype(np.uint32).tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "once", "many", "n"])
+            for g, parts in held.items():
+                h = np.sort(np.concatenate(parts))
+                ends = [0, *np.searchsorted(h, _cuts(n)).tolist(), len(h)]
+                rows += [(k, g, h[a:z].tobytes()) for k, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
+            held.clear()
+            return pd.DataFrame(rows, columns=["bucket", "grp", "hashes"])
 
         for b in batches:
-            for _, run in pieces(b["text"]):
-                held += [(s >> U(32)).astype(np.uint32) for s in shingle_sets(run, words)]
-                if sum(map(len, held[-len(run) :])) and sum(map(len, held)) > 8_000_000:
+            grp = b["grp"].to_numpy()
+            for first, run in pieces(b["text"]):
+                for i, s in enumerate(shingle_sets(run, words), first):
+                    if len(s):
+                        held.setdefault(int(grp[i]), []).append((s >> U(32)).astype(np.uint32))
+                        size += len(s)
+                if size > 16_000_000:
                     yield flush()
+                    size = 0
         if held:
             yield flush()
 
     def counted(b: pd.DataFrame) -> pd.DataFrame:
-        once = np.concatenate([np.frombuffer(x, np.uint32) for x in b["once"]])
-        many = np.concatenate([np.frombuffer(x, np.uint32) for x in b["many"]])
-        weight = np.concatenate([np.frombuffer(x, np.uint32) for x in b["n"]])
-        h, inv = np.unique(np.concatenate([once, many]), return_inverse=True)
-        n = np.bincount(inv[: len(once)], minlength=len(h)) + np.bincount(inv[len(once) :], weights=weight, minlength=len(h)).astype(np.int64)
-        keep = n >= FREQUENT_FROM
-        return pd.DataFrame({"hash32": h[keep].astype(np.int64), "count": n[keep]})
-
-    return docs.select("text").mapInPandas(packed, "bucket int, once binary, many binary, n binary").groupBy("bucket").applyInPandas(counted, "hash32 long, count long")
-
-
-def candidates(docs: DataFrame, words: int, percent: int, frequent: pd.DataFrame) -> DataFrame:
-    """(src, dst) signatures; their components are the candidate clusters."""
-    n_buckets, spark = _buckets(docs), docs.sparkSession
-    ranked = frequent.sort_values("hash32")
-    known = spark.sparkContext.broadcast((ranked["hash32"].to_numpy(np.uint32), ranked["count"].to_numpy(np.int64)))
-
-    def prefix(s: np.ndarray) -> np.ndarray:
-        hashes, counts = known.value
-        p = len(s) - (percent * len(s) + 99) // 100 + 1
-        if p >= len(s):
-            return s
-        rank = np.zeros(len(s), np.int64)
-        if len(hashes):
-            h = (s >> U(32)).astype(np.uint32)
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            rank = np.where(hashes[at] == h, counts[at], 0)
-        return s[np.lexsort((s, rank))[:p]]
+        own = [np.frombuffer(x, np.uint32) for x in b["hashes"]]
+        every, n_docs = np.unique(np.concatenate(own), return_counts=True)
+        many = n_docs > 1
+        every, n_docs = every[many], np.minimum(n_docs[many], 65535).astype(np.uint16)
+        rows = []
+        for g in np.unique(b["grp"]):
+            h = np.unique(np.concatenate([own[i] for i in np.flatnonzero(b["grp"] == g)]))
+            at = np.minimum(np.searchsorted(every, h), max(0, len(every) - 1))
+            hit = every[at] == h if len(every) else np.zeros(len(h), bool)
+            rows.append((g, h[hit].tobytes(), n_docs[at[hit]].tobytes()))
+        return pd.DataFrame(rows, columns=["grp", "hashes", "counts"])
+
+    rows = docs.select("grp", "text").mapInPandas(packed, "bucket int, grp int, hashes binary")
+    return rows.groupBy("bucket").applyInPandas(counted, "grp int, hashes binary, counts binary")
+
+
+def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n (shingles), sig and, for sets that may have a partner, shingles and prefix (packed 64-bit hashes)."""
+    n = _groups(docs)
+    keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("grp"), "doc_id", "text")
+    answers = frequencies(keyed, words, n)
+
+    def ordered(b: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+        known = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in answer["hashes"])])
+        counts = np.concatenate([np.empty(0, np.uint16), *(np.frombuffer(x, np.uint16) for x in answer["counts"])])
+        order = np.argsort(known)
+        known, counts = known[order], counts[order]
+        rows, seen = [], set()
+        for first, run in pieces(b["text"]):
+            for i, s in enumerate(shingle_sets(run, words), first):
+                sig, kept, prefix = signature(s), None, None
+                if len(known) and len(s) and sig not in seen:
+                    h = (s >> U(32)).astype(np.uint32)
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    df = np.where(known[at] == h, counts[at], 1)
+                    p = len(s) - (percent * len(s) + 99) // 100 + 1
+                    lone = int((df == 1).sum())
+                    if lone < p:
+                        seen.add(sig)
+                        kept, prefix = s.tobytes(), s[np.lexsort((s, df))[lone:p]].tobytes()
+                rows.append((b["doc_id"].iat[i], len(s), sig, kept, prefix))
+        return pd.DataFrame(rows, columns=["doc_id", "n", "sig", "shingles", "prefix"]).astype({"doc_id": "Int64"})
+
+    schema = "doc_id long, n long, sig long, shingles binary, prefix binary"
+    return durable(keyed.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(ordered, schema))
+
+
+def candidates(sets: DataFrame, n: int) -> DataFrame:
+    """(src, dst) signatures of sets(sig, prefix); their components are the candidate clusters."""
+
+    def stars(shingles: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each shingle the least signature, and the edges of the others to it."""
+        order = np.lexsort((sigs, shingles))
+        t, s = shingles[order], sigs[order]
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        low = np.repeat(s[first], np.diff(first, append=len(t)))
+        return t[first], s[first], s[low != s], low[low != s]
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles: list[np.ndarray] = []
-        sigs: list[np.ndarray] = []
-
-        def flush() -> pd.DataFrame:
-            t, s = np.concatenate(shingles), np.concatenate(sigs)
-            shingles.clear(), sigs.clear()
-            order = np.lexsort((s, t))
-            t, s = t[order], s[order]
-            first = np.flatnonzero(np.diff(t, prepend=~t[:1]))
-            low = np.repeat(s[first], np.diff(first, append=len(t)))
-            child, root = forest(s[low != s], low[low != s])
-            t, s = t[first], s[first]
-            cut = np.searchsorted(t >> U(32), (np.arange(1, n_buckets, dtype=np.uint64) << U(32)) // U(n_buckets)).tolist()
-            spread = np.linspace(0, len(child), n_buckets + 1).astype(int).tolist()
-            rows = [(k, t[a:z].tobytes(), s[a:z].tobytes(), child[c:d].tobytes(), root[c:d].tobytes()) for k, (a, z, c, d) in enumerate(zip([0, *cut], [*cut, len(t)], spread[:-1], spread[1:], strict=True))]
-            return pd.DataFrame(rows, columns=["bucket", "shingles", "sigs", "child", "root"])
-
-        held = 0
         for b in batches:
-            for _, run in pieces(b["text"]):
-                for s in shingle_sets(run, words):
-                    if len(s):
-                        p = prefix(s)
-                        shingles.append(p)
-                        sigs.append(np.full(len(p), signature(s)))
-                        held += len(p)
-                if held > 4_000_000:
-                    yield flush()
-                    held = 0
-        if held:
-            yield flush()
+            parts = [np.frombuffer(x, U) for x in b["prefix"]]
+            if not parts:
+                continue
+            t, s, a, z = stars(np.concatenate(parts), np.repeat(b["sig"].to_numpy(np.int64), [len(x) for x in parts]))
+            child, root = forest(a, z)
+            cut = [0, *np.searchsorted(t >> U(32), _cuts(n)).tolist(), len(t)]
+            spread = np.linspace(0, len(child), n + 1).astype(int).tolist()
+            rows = [(k, t[a:z].tobytes(), s[a:z].tobytes(), child[c:d].tobytes(), root[c:d].tobytes()) for k, (a, z, c, d) in enumerate(zip(cut[:-1], cut[1:], spread[:-1], spread[1:], strict=True)) if z > a or d > c]
+            yield pd.DataFrame(rows, columns=["bucket", "shingles", "sigs", "child", "root"])
 
     def linked(b: pd.DataFrame) -> pd.DataFrame:
-        t = np.concatenate([np.frombuffer(x, U) for x in b["shingles"]])
-        s = np.concatenate([np.frombuffer(x, np.int64) for x in b["sigs"]])
-        order = np.lexsort((s, t))
-        t, s = t[order], s[order]
-        first = np.flatnonzero(np.diff(t, prepend=~t[:1]))
-        low = np.repeat(s[first], np.diff(first, append=len(t)))
-        more = [np.concatenate([np.frombuffer(x, np.int64) for x in b[c]]) for c in ("child", "root")]
-        child, root = forest(np.concatenate([s[low != s], more[0]]), np.concatenate([low[low != s], more[1]]))
+        own = {c: np.concatenate([np.frombuffer(x, U if c == "shingles" else np.int64) for x in b[c]]) for c in ("shingles", "sigs", "child", "root")}
+        a, z = own["child"], own["root"]
+        if len(own["shingles"]):
+            _, _, more_a, more_z = stars(own["shingles"], own["sigs"])
+            a, z = np.concatenate([a, more_a]), np.concatenate([z, more_z])
+        child, root = forest(a, z)
         return pd.DataFrame({"src": child, "dst": root})
 
-    rows = docs.select("text").mapInPandas(packed, "bucket int, shingles binary, sigs binary, child binary, root binary")
+    rows = sets.select("sig", "prefix").mapInPandas(packed, "bucket int, shingles binary, sigs binary, child binary, root binary")
     return rows.groupBy("bucket").applyInPandas(linked, "src long, dst long")
 
 
@@ -240,24 +247,15 @@ def tree_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(docs: DataFrame, digests: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
-    """(src, dst) signatures: links that span the components inside the clusters (src, dst)."""
+def links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """(src, dst) signatures: links that span the components inside the clusters (src, dst) of sets(sig, n, shingles)."""
     members = clusters.union(clusters.select("dst", "dst").distinct()).toDF("sig", "root")
-    nodes = digests.filter("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    members = members.join(nodes, "sig")
-    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
-    members = durable(members.join(sizes, "root").select(F.col("doc_id").alias("node_id"), "sig", "root", "k"))
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for first, run in pieces(b["text"]):
-                rows = []
-                for at, s in enumerate(shingle_sets(run, words), first):
-                    sig, root, k = int(b["sig"].iat[at]), b["root"].iat[at], int(b["k"].iat[at])
-                    if signature(s) == sig:
-                        own = sig % k
-                        rows += [(root, min(own, o), max(own, o), sig, s.tobytes()) for o in range(k)]
-                yield pd.DataFrame(rows, columns=["root", "one", "two", "sig", "shingles"])
+    sized = members.join(sets.groupBy("sig").agg(F.max("n").alias("n")), "sig")
+    sizes = sized.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    members = durable(members.join(sizes, "root"))
+    own = sets.select("sig", "shingles").join(members, "sig")
+    block = F.pmod("sig", "k").cast("int")
+    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("root", F.least(block, "other").alias("one"), F.greatest(block, "other").alias("two"), "sig", "shingles")
 
     def joined(b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("sig")
@@ -267,22 +265,20 @@ def links(docs: DataFrame, digests: DataFrame, clusters: DataFrame, words: int,
         child, root = forest(sig[a], sig[z])
         return pd.DataFrame({"src": child, "dst": root})
 
-    own = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("node_id")).select("text", "sig", "root", "k")
-    rows = own.mapInPandas(sets, "root long, one int, two int, sig long, shingles binary")
     found = durable(rows.groupBy("root", "one", "two").applyInPandas(joined, "src long, dst long"))
     return components(found) if members.filter("k > 1").limit(1).count() else found
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
-    digests = durable(digest(docs, words))
-    frequent = frequencies(docs, words).orderBy(F.desc("count"), "hash32").limit(MOST_FREQUENT).toPandas()
-    clusters = components(candidates(docs, words, percent, frequent))
-    found = links(docs, digests, clusters, words, percent)
-    keyed = digests.filter("n > 0").join(found.toDF("sig", "low"), "sig", "left").select("doc_id", "n", F.coalesce("low", "sig").alias("key"))
+    rows = prefixes(docs, words, percent)
+    sets = rows.filter("shingles is not null")
+    clusters = components(candidates(sets, _groups(docs)))
+    found = links(sets, clusters, percent)
+    keyed = rows.filter("n > 0").select("doc_id", "n", "sig").join(found.toDF("sig", "low"), "sig", "left").select("doc_id", "n", F.coalesce("low", "sig").alias("key"))
     lowest = keyed.groupBy("key").agg(F.min("doc_id").alias("component_id"))
     some = keyed.join(lowest, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return some.union(digests.filter("n = 0").select("doc_id", "n", "doc_id"))
+    return some.union(rows.filter("n = 0").select("doc_id", "n", "doc_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
