@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteweave.llm import decontaminate, html_main, jaccard_join, language_id, line_dedup, pieces, quality_rules, url_filter
+from siteweave.llm import decontaminate, html_main, jaccard_join, language_id, line_dedup, pieces, quality_rules, toxicity, url_filter
 from siteweave.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
 
