@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteweave.llm import decontaminate, html_main, jaccard_join, language_id, line_dedup, pieces, quality_rules, toxicity, url_filter
+from siteweave.llm import decontaminate, html_main, jaccard_join, language_id, line_dedup, pieces, quality_rules, suffix_dedup, toxicity, url_filter
 from siteweave.llm.common import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
