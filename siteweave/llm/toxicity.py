@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from siteweave.llm.bytehash import BASE, BYTE, INVERSE, U, mix, powers
 
-TRAIN_ROWS, VOCABULARY, THRESHOLD = 12_000, 3000, 0.3
+TRAIN_ROWS, VOCABULARY, THRESHOLD = 8000, 3000, 0.3
 #: Mined lexicon: at least so many toxic documents with the code, and so many times as common there as in clean ones.
 MINED_LEAST, MINED_RATIO, MINED = 6, 12.0, 1000
 #: Lengths in bytes of word beginnings, and the counts at which a code makes a further feature.
@@ -49,6 +49,8 @@ LEXICONS: dict[str, str] = {
     "european": "dummkopf idioten arschloch trottel abschaum schwachkopf imbécile crétin connard salaud ordure merde imbécil estúpido idiota basura payaso patético asqueroso mierda",
 }
 POSITIVE = "please thanks thank kindly welcome sincerely appreciate grateful"
+#: Votes, word codes, label.
+Row = tuple[list[int], np.ndarray, int | None]
 LEET = str.maketrans("013457@$!|", "oieastasil")
 VOTERS = (*LEXICONS, "several", "dense", "direct", "disguised", "shouted", "polite", "nothing", "mined")
 _STRETCH = re.compile(r"(.)\1{2,}")
@@ -121,13 +123,13 @@ for _c in range(128):
 
 
 def word_codes(text: str | None) -> np.ndarray:
-    """Distinct 64-bit codes of the words and word beginnings (ASCII lowered, cut at ASCII punctuation) of a text, once per level of their count."""
+    """Distinct 32-bit codes of the words and word beginnings (ASCII lowered, cut at ASCII punctuation) of a text, once per level of their count."""
     raw = _FOLD[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
     solid = raw != 32
     edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.empty(0, U)
+        return np.empty(0, np.uint32)
     n = len(raw)
     total = np.zeros(n + 1, U)
     np.cumsum(BYTE[raw] * powers(BASE, n), out=total[1:])
@@ -136,17 +138,24 @@ def word_codes(text: str | None) -> np.ndarray:
     for k in BEGINNINGS:
         a = starts[ends - starts > k]
         parts.append((total[a + k] - total[a]) * back[a] + U(k))
-    codes, n_times = np.unique(mix(np.concatenate(parts)), return_counts=True)
-    return np.concatenate([codes[n_times >= level] + U(level) for level in LEVELS])
+    codes, n_times = np.unique((mix(np.concatenate(parts)) >> U(32)).astype(np.uint32), return_counts=True)
+    return np.concatenate([codes[n_times >= level] + np.uint32(level) for level in LEVELS])
+
+
+def without_rare(rows: list[Row], least: int = MINED_LEAST) -> list[Row]:
+    """The rows without the codes that occur in fewer of them."""
+    codes, n = np.unique(np.concatenate([np.empty(0, np.uint32), *(w for _, w, _ in rows)]), return_counts=True)
+    codes = codes[n >= least]
+    return [(x, w[codes[np.minimum(np.searchsorted(codes, w), len(codes) - 1)] == w] if len(codes) else w[:0], y) for x, w, y in rows]
 
 
-def mine(rows: list[tuple[list[int], np.ndarray, int | None]]) -> np.ndarray:
+def mine(rows: list[Row]) -> np.ndarray:
     """Sorted codes of the mined lexicon from labelled rows."""
     by = {y: [w for _, w, label in rows if label == y] for y in (0, 1)}
     if not by[1] or not by[0]:
-        return np.empty(0, U)
+        return np.empty(0, np.uint32)
     toxic, n = np.unique(np.concatenate(by[1]), return_counts=True)
-    clean, m = np.unique(np.concatenate([*by[0], np.empty(0, U)]), return_counts=True)
+    clean, m = np.unique(np.concatenate([*by[0], np.empty(0, np.uint32)]), return_counts=True)
     at = np.minimum(np.searchsorted(clean, toxic), max(0, len(clean) - 1))
     in_clean = np.where(clean[at] == toxic, m[at], 0) if len(clean) else np.zeros(len(toxic))
     ratio = (n / len(by[1])) / ((in_clean + 0.5) / len(by[0]))
@@ -226,9 +235,6 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(self.margin([*votes(text), mined_vote(words, self.lexicon)], words), -30, 30))))
 
 
-Row = tuple[list[int], np.ndarray, int | None]
-
-
 def fit_classifier(rows: list[Row], posterior: np.ndarray, weight: np.ndarray, lexicon: np.ndarray, folds: int = 3) -> Classifier:
     """Classifier of all rows (votes, word codes, label or None), whose threshold is the cut of best F1 among margins of rows left out of the fit."""
     model = _descend(rows, posterior, weight, lexicon)
@@ -293,8 +299,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[LabelModel, Classifier]:
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"].astype("Int32"), "votes": [spell(votes(t)) for t in b["text"]], "words": [word_codes(t).tobytes() for t in b["text"]]})
 
     own = train.join(F.broadcast(sample), "doc_id").mapInPandas(coded, "doc_id long, toxic int, votes string, words binary")
-    got = sorted({r["doc_id"]: r for r in own.collect()}.values(), key=lambda r: r["doc_id"])
-    rows = [(read(r["votes"]), np.frombuffer(r["words"], U), r["toxic"]) for r in got]
+    got = sorted({r["doc_id"]: r for r in own.toLocalIterator()}.values(), key=lambda r: r["doc_id"])
+    rows = without_rare([(read(r["votes"]), np.frombuffer(r["words"], np.uint32), r["toxic"]) for r in got])
+    del got
     lexicon = mine(rows)
     rows = [([*x, mined_vote(w, lexicon)], w, y) for x, w, y in rows]
     shared = spark.sparkContext.broadcast(lexicon)
@@ -306,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[LabelModel, Classifier]:
     counts = train.select("text").mapInPandas(voted, "votes string").groupBy("votes").count().orderBy("votes").collect()
     if not counts or not rows:
         model = LabelModel(np.zeros((1, len(VOTERS)), int), np.ones(1), 0.05)
-        return model, Classifier(np.ones(len(VOTERS)), np.empty(0, U), np.empty(0), -2.0, lexicon)
+        return model, Classifier(np.ones(len(VOTERS)), np.empty(0, np.uint32), np.empty(0), -2.0, lexicon)
     labelled = sizes.get(0, 0) + sizes.get(1, 0)
     balance = sizes.get(1, 0) / labelled if labelled else 0.05
     model = LabelModel(np.array([read(r["votes"]) for r in counts]), np.array([r["count"] for r in counts]), float(np.clip(balance, 0.005, 0.5)))
