@@ -207,7 +207,7 @@ def _hash(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
-def _pieces(rows: Iterable[tuple], size: int = 4 << 20) -> Iterator[list[tuple]]:
+def _pieces(rows: Iterable[tuple], size: int = 1 << 20) -> Iterator[list[tuple]]:
     """Lists of rows (the last field is the text) of about size bytes of text."""
     held, n = [], 0
     for r in rows:
@@ -261,7 +261,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 grp, ids = np.array([x[0] for x in part]), np.array([x[1] for x in part])
                 hashes = np.array([_hash(x[2]) for x in part])
                 held.append((grp[r.text], ids[r.text], hashes[r.text], r.anchor, r.rank, r.run))
-                if sum(len(x[0]) for x in held) > 1_500_000:
+                if sum(len(x[0]) for x in held) > 300_000:
                     yield _sent(n, *(np.concatenate(x) for x in zip(*held, strict=True)))
                     held = []
         if held:
@@ -318,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 grp, ids = np.array([x[0] for x in part]), np.array([x[1] for x in part])
                 hashes = np.array([_hash(x[3]) for x in part])
                 held.append((grp[text], ids[text], hashes[text], start, r.rank[of], key))
-                if sum(len(x[0]) for x in held) > 2_000_000:
+                if sum(len(x[0]) for x in held) > 400_000:
                     yield _sent(n, *(np.concatenate(x) for x in zip(*held, strict=True)))
                     held = []
             if held:
