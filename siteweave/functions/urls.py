@@ -91,7 +91,7 @@ def _merged_path(base_path: Column, ref_path: Column) -> Column:
     )
     ends_in_dots = F.element_at(kept, -1).isin(".", "..")
     joined = F.array_join(F.when(ends_in_dots, F.concat(folded, F.array(F.lit("")))).otherwise(folded), "/")
-    return F.when(joined == "", "/").otherwise(joined)
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
 def resolve(base: Column, ref: Column) -> Column:
