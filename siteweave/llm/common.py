@@ -38,6 +38,25 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Input bytes that one group of documents stands for, and the least number of groups.
+GROUP_BYTES, LEAST_GROUPS = 16 << 20, 16
+
+
+def groups(docs: DataFrame) -> int:
+    """Number of groups to deal documents to: by the plan's estimate of the input size, or the shuffle partitions where it has none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60
+    return max(LEAST_GROUPS, -(-size // GROUP_BYTES) if known else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 #: Size of the filters below; full ones let more pass, they never lose a key.
 FILTER_BITS = 1 << 26
 

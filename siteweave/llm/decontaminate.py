@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteweave.llm.common import durable, free
+
 #: Fixed masks, as offsets of the positions that count; lossless for 2 substitutions in 13 tokens.
 MASKS = ((0, 3, 4, 6, 8, 9), (0, 1, 3, 6, 7, 8))
 WINDOW, PERCENT, SHORTEST = 13, 80, 10
@@ -91,8 +93,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns kept, without the contaminated ones."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("found_id")), "left_anti")
+    bad = durable(matches(docs, benchmark).select(F.col("doc_id").alias(free(docs, "found"))).distinct())
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[bad.columns[0]]), "left_anti")
 
 
 def oracle(docs: str = "documents", benchmark: str = "benchmark") -> str:

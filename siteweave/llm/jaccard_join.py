@@ -29,11 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.llm.bytehash import U, forest, mix, pieces, shingle_sets
-from siteweave.llm.common import LOWER, UPPER, durable
+from siteweave.llm.common import LOWER, UPPER, durable, free, groups
 from siteweave.llm.components import components
 
-#: Bytes of input a group of documents and a bucket of hashes stand for; sets and shingles of a block.
-GROUP_BYTES, LEAST_GROUPS = 16 << 20, 16
+#: Most sets and shingles of a block.
 BLOCK_SETS, BLOCK_SHINGLES = 2000, 4_000_000
 
 
@@ -43,11 +42,6 @@ def signature(s: np.ndarray) -> int:
     return int(h[0] >> U(1))
 
 
-def _groups(docs: DataFrame) -> int:
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(LEAST_GROUPS, -(-size // GROUP_BYTES))
-
-
 def _cuts(n: int) -> np.ndarray:
     """Ends of all but the last of n equal ranges of 32-bit hashes."""
     return (np.arange(1, n, dtype=U) << U(32)) // U(n)
@@ -101,7 +95,7 @@ def frequencies(docs: DataFrame, words: int, n: int) -> DataFrame:
 
 def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n (shingles), sig and, for sets that may have a partner, shingles and prefix (packed 64-bit hashes)."""
-    n = _groups(docs)
+    n = groups(docs)
     keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("grp"), "doc_id", "text")
     answers = frequencies(keyed, words, n)
 
@@ -273,7 +267,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
     rows = prefixes(docs, words, percent)
     sets = rows.filter("shingles is not null")
-    clusters = components(candidates(sets, _groups(docs)))
+    clusters = components(candidates(sets, groups(docs)))
     found = links(sets, clusters, percent)
     keyed = rows.filter("n > 0").select("doc_id", "n", "sig").join(found.toDF("sig", "low"), "sig", "left").select("doc_id", "n", F.coalesce("low", "sig").alias("key"))
     lowest = keyed.groupBy("key").agg(F.min("doc_id").alias("component_id"))
@@ -283,8 +277,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns kept, of which each component leaves the one of the smallest doc_id."""
-    gone = near_duplicates(docs, words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = durable(near_duplicates(docs, words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias(free(docs, "gone"))).distinct())
+    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
 
 
 def oracle(words: int, percent: int, docs: str = "documents") -> str:

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteweave.llm.common import durable, in_filter, key_filter
+from siteweave.llm.common import durable, free, in_filter, key_filter
 
 #: Lines in the rolling window, and the modulus that sets the mean chunk.
 WINDOW, EVERY = 2, 2
@@ -78,10 +78,11 @@ def removals(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set("no").alias("gone"))
 
 
-def _with_removals(docs: DataFrame) -> DataFrame:
-    """docs with the column gone. Always a merge join: the removals grow with the corpus."""
-    found = removals(docs).withColumnRenamed("doc_id", "__found").hint("merge")
-    return docs.join(found, docs["doc_id"] == F.col("__found"), "left").drop("__found")
+def _with_removals(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the numbers of the chunks to remove, and the name of that column. Always a merge join: the removals grow with the corpus."""
+    gone = free(docs, "gone")
+    found = removals(docs).select(F.col("doc_id").alias(free(docs, "found")), F.col("gone").alias(gone)).hint("merge")
+    return docs.join(found, docs["doc_id"] == found[found.columns[0]], "left").select(*(docs[c] for c in docs.columns), found[gone]), gone
 
 
 def _kept(text: str | None, gone: list[int] | None) -> tuple[int, int, str]:
@@ -95,18 +96,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A text without removals, null included, stays as it is.
     """
-    joined = _with_removals(docs)
+    joined, column = _with_removals(docs)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, gone = b.column("text").to_pylist(), b.column("gone").to_pylist()
+            texts, gone = b.column("text").to_pylist(), b.column(column).to_pylist()
             new = [_kept(t, g)[2] if g else t for t, g in zip(texts, gone, strict=True)]
             cols = dict(zip(b.schema.names, b.columns, strict=True))
             cols["text"] = pa.array(new, b.schema.field("text").type)
             if "n_chars" in cols:
                 old = cols["n_chars"].to_pylist()
                 cols["n_chars"] = pa.array([len(t) if g else o for t, g, o in zip(new, gone, old, strict=True)], b.schema.field("n_chars").type)
-            del cols["gone"]
+            del cols[column]
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return joined.mapInArrow(rows, docs.schema)
@@ -114,7 +115,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of the remaining lines' UTF-8 bytes."""
-    joined = _with_removals(docs.select("doc_id", "text"))
+    joined, _ = _with_removals(docs.select("doc_id", "text"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -37,10 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.llm.bytehash import BASE, BYTE, INVERSE, U, mix, powers
-from siteweave.llm.common import durable
+from siteweave.llm.common import durable, groups
 
 LENGTH, ANCHOR = 100, 48
-GROUP_BYTES, LEAST_GROUPS = 16 << 20, 16
 _LAST = np.iinfo(np.int64).max
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -248,8 +247,7 @@ RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(LEAST_GROUPS, -(-size // GROUP_BYTES))
+    n = groups(docs)
     keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("grp"), "doc_id", "text")
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
