@@ -7,7 +7,7 @@ fixed masks that ignore some token positions: the MASKS are lossless for WINDOW
 the tolerated substitutions fall into a full window, at least one mask lies on agreeing positions only.
 A window shorter than WINDOW counts if, besides, a mask hits it.
 
-Plan: one scan of the documents; token hashes and seeds are made by array expressions, exploded, and looked up
+Plan: one scan of the documents; token hashes are made by array expressions, exploded, and their seeds looked up
 in the item seeds by a hash join inside the same stage, where the hit windows are compared at once, so no document
 text is shuffled. Only confirmed (document, item) pairs are aggregated. The item seeds are broadcast only while
 their counted number is within MAX_BROADCAST_SEEDS; beyond, the seeds of both sides are shuffled by hash, and AQE
@@ -40,20 +40,24 @@ def _hashed(df: DataFrame, text: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("h"))
 
 
-def _mask_seeds(h: str, mask: int) -> Column:
-    offsets = MASKS[mask]
-    starts = F.size(h) - offsets[-1]
-    seed = lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(mask), *(F.get(F.col(h), i + o) for o in offsets)).alias("seed"))
-    return F.when(starts > 0, F.transform(F.sequence(F.lit(0), starts - 1), seed)).otherwise(F.array().cast("array<struct<at:int,seed:bigint>>"))
-
-
-def _seeds(h: str) -> Column:
-    """All seeds of an array of token hashes, as (position, mask hash)."""
-    return F.concat(*(_mask_seeds(h, m) for m in range(len(MASKS))))
-
-
 def _exploded(df: DataFrame, *keep: str) -> DataFrame:
-    return df.withColumn("s", F.explode(_seeds("h"))).select(*keep, F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
+    """A row for each mask and each position of the token hashes h where it fits: at, seed.
+
+    One range of slots holds the positions of the masks one after the other. Slots are exploded and seeds computed after that, so
+    that both stay in generated code up to the join.
+    """
+    fits = [F.greatest(F.size("h") - offsets[-1], F.lit(0)) for offsets in MASKS]
+    total = sum(fits[1:], fits[0])
+    rows = df.withColumn("slot", F.explode(F.when(total > 0, F.sequence(F.lit(0), total - 1)).otherwise(F.array().cast("array<int>"))))
+    begins = [sum(fits[1:m], fits[0]) if m else F.lit(0) for m in range(len(MASKS))]
+    at, seed = F.col("slot"), None
+    for m, begin in enumerate(begins[1:], 1):
+        at = F.when(F.col("slot") >= begin, F.col("slot") - begin).otherwise(at)
+    rows = rows.withColumn("at", at)
+    for m, offsets in enumerate(MASKS):
+        own = F.xxhash64(F.lit(m), *(F.get(F.col("h"), F.col("at") + o) for o in offsets))
+        seed = own if seed is None else F.when(F.col("slot") >= begins[m], own).otherwise(seed)
+    return rows.select(*keep, "at", seed.alias("seed"))
 
 
 def item_seeds(benchmark: DataFrame) -> DataFrame:
