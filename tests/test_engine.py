@@ -82,13 +82,14 @@ def test_missing_url_fails(spark):
 
 def test_command(spark, tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
-    spark.createDataFrame([(1, "https://s.test", '<a href="/p/1">A</a><a href="/p/1#r">A</a><a href="/c">C</a>')], "page_id long, url string, html string").write.parquet("pages")
-    spark.createDataFrame([("https://s.test", "https://s.test/p/1", 9500, "A"), ("https://s.test", "https://s.test/p/1#r", 9500, "A"), ("https://s.test", "https://s.test/c", 5000, None)], "parent_url string, url string, milli int, product_name string").write.parquet("scores")
+    pages, scores = str(tmp_path / "pages"), str(tmp_path / "scores")
+    spark.createDataFrame([(1, "https://s.test", '<a href="/p/1">A</a><a href="/p/1#r">A</a><a href="/c">C</a>')], "page_id long, url string, html string").write.parquet(pages)
+    spark.createDataFrame([("https://s.test", "https://s.test/p/1", 9500, "A"), ("https://s.test", "https://s.test/p/1#r", 9500, "A"), ("https://s.test", "https://s.test/c", 5000, None)], "parent_url string, url string, milli int, product_name string").write.parquet(scores)
     (tmp_path / "t.json").write_text('{"url": "https://s.test/", "output": "out.json"}')
-    assert main(["t.json", "--pages", "pages", "--scores", "scores"]) == 0
+    assert main(["t.json", "--pages", pages, "--scores", scores]) == 0
     assert [p["url"] for p in json.loads((tmp_path / "out.json").read_text())["products"]] == ["https://s.test/p/1"]
     assert len(json.loads((tmp_path / "out_raw.json").read_text())["products"]) == 2
-    assert main(["none.json", "--pages", "pages", "--scores", "scores"]) == 1
+    assert main(["none.json", "--pages", pages, "--scores", scores]) == 1
 
 
 def test_streaming_links(spark, tmp_path):
