@@ -22,7 +22,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, (1 << 20) + (1 << 18))
         p = np.full(size, U(base))
         p[0] = 1
         have = _powers[base] = np.cumprod(p, dtype=U)
@@ -35,7 +35,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
-def pieces(texts: Iterable[str | None], most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def pieces(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, UTF-8 bytes) of runs of texts of about ``most`` bytes; a longer text stands alone."""
     run, size, first = [], 0, 0
     for i, t in enumerate(texts):

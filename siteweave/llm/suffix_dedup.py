@@ -101,15 +101,10 @@ class Places:
         new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]))) if len(ids) else np.empty(0, np.int64)
         return ids[new].tobytes(), hashes[new].tobytes(), np.diff(new, append=len(ids)).astype(np.int32).tobytes(), np.diff(starts, prepend=0).astype(np.int64).tobytes()
 
-    @staticmethod
-    def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = np.frombuffer(row["ns"], np.int32)
-        return np.repeat(np.frombuffer(row["ids"], np.int64), n), np.repeat(np.frombuffer(row["hashes"], np.int64), n), np.cumsum(np.frombuffer(row["starts"], np.int64))
-
 
-def _not_first(keys: list[np.ndarray], ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by class (keys, the last one foremost) and place; in that order, whether a row begins a class, and whether it is another place than its class's first."""
-    order = np.lexsort((starts, hashes, ids, *keys))
+def _not_first(keys: list[np.ndarray], place: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by class (keys, the last one foremost) and place (likewise); in that order, whether a row begins a class, and whether it is another place than its class's first."""
+    order = np.lexsort((*place, *keys))
     begins = np.zeros(len(order), bool)
     begins[:1] = True
     for k in keys:
@@ -117,7 +112,7 @@ def _not_first(keys: list[np.ndarray], ids: np.ndarray, hashes: np.ndarray, star
         begins[1:] |= k[1:] != k[:-1]
     head = np.flatnonzero(begins)[np.cumsum(begins) - 1]
     other = np.zeros(len(order), bool)
-    for x in (ids, hashes, starts):
+    for x in place:
         x = x[order]
         other |= x != x[head]
     return order, begins, other
@@ -141,7 +136,7 @@ _SCHEMA = "bucket int, grp int, ids binary, hashes binary, ns binary, starts bin
 
 def _sent(n: int, grp: np.ndarray, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, rank: np.ndarray, key: np.ndarray) -> pd.DataFrame:
     """Rows for the buckets: the first of each class (rank, key) here, and, without ranks, the settled others."""
-    order, _, other = _not_first([key, rank], ids, hashes, starts)
+    order, _, other = _not_first([key, rank], [starts, hashes, ids])
     grp, ids, hashes, starts, rank, key = (x[order] for x in (grp, ids, hashes, starts, rank, key))
     # copies of one document may tie for the first: a single one is sent
     again = ~other & np.append(False, (rank[1:] == rank[:-1]) & (key[1:] == key[:-1]))
@@ -165,23 +160,45 @@ def _settle(with_open: bool):
         out = [(r["grp"], False, *(r[c] for c in Places.COLUMNS)) for r in rows if not r["ranks"]]
         rows = [r for r in rows if r["ranks"]]
         if rows:
-            places = [Places.unpack(r) for r in rows]
-            ids, hashes, starts = (np.concatenate([p[k] for p in places]) for k in range(3))
-            grp = np.repeat([r["grp"] for r in rows], [len(p[0]) for p in places])
+            # documents are numbered in the order of (id, hash), so that a place is two small numbers
+            ids, hashes = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("ids", "hashes"))
+            grp = np.repeat([r["grp"] for r in rows], [len(r["ids"]) // 8 for r in rows])
+            order = np.lexsort((hashes, ids))
+            ids, hashes, grp = ids[order], hashes[order], grp[order]
+            new = np.append(True, (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]))
+            number = np.empty(len(order), np.int32)
+            number[order] = np.cumsum(new) - 1
+            ids, hashes, grp = ids[new], hashes[new], grp[new]
+            doc = np.repeat(number, np.concatenate([np.frombuffer(r["ns"], np.int32) for r in rows]))
+            starts = np.concatenate([np.cumsum(np.frombuffer(r["starts"], np.int64)) for r in rows])
+            starts = starts.astype(np.int32) if starts.max() < 1 << 31 else starts
             rank = np.concatenate([np.frombuffer(r["ranks"], np.uint32) for r in rows])
             key = np.concatenate([np.frombuffer(r["keys"], U) for r in rows])
-            order, begins, other = _not_first([key, rank], ids, hashes, starts)
-            grp, ids, hashes, starts, rank = (x[order] for x in (grp, ids, hashes, starts, rank))
-            several = np.zeros(len(rank), bool)
-            if with_open:
-                of = np.cumsum(np.append(True, rank[1:] != rank[:-1])) - 1
-                several = np.bincount(of, weights=begins)[of] > 1
-            for is_open, hit in ((False, other), (True, ~other & several)):
-                own = np.flatnonzero(hit)
-                own = own[np.lexsort((starts[own], hashes[own], ids[own], grp[own]))]
-                out += [(int(grp[own[a]]), is_open, *Places.pack(ids[own[a:z]], hashes[own[a:z]], starts[own[a:z]])) for a, z in _slices(grp[own])]
+            rows.clear()
+            # ranges of ranks, one at a time, bound what is sorted
+            low, high = int(rank.min()), int(rank.max()) + 1
+            parts = -(-len(rank) // 250_000)
+            for k in range(parts):
+                own = np.flatnonzero((rank >= low + (high - low) * k // parts) & (rank < low + (high - low) * (k + 1) // parts))
+                if len(own):
+                    out += answered(ids, hashes, grp, doc[own], starts[own], rank[own], key[own])
         return pd.DataFrame(out, columns=["grp", "open", *Places.COLUMNS])
 
+    def answered(ids: np.ndarray, hashes: np.ndarray, grp: np.ndarray, doc: np.ndarray, starts: np.ndarray, rank: np.ndarray, key: np.ndarray) -> list[tuple]:
+        order, begins, other = _not_first([key, rank], [starts, doc])
+        doc, starts, rank = doc[order], starts[order], rank[order]
+        several = np.zeros(len(rank), bool)
+        if with_open:
+            of = np.cumsum(np.append(True, rank[1:] != rank[:-1])) - 1
+            several = np.bincount(of, weights=begins)[of] > 1
+        out = []
+        for is_open, hit in ((False, other), (True, ~other & several)):
+            d, s = doc[hit], starts[hit]
+            order = np.lexsort((s, d, grp[d]))
+            d, s = d[order], s[order]
+            out += [(int(grp[d[a]]), is_open, *Places.pack(ids[d[a:z]], hashes[d[a:z]], s[a:z])) for a, z in _slices(grp[d])]
+        return out
+
     return settled
 
 
