@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,12 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished steps: once their plans are unreferenced, a garbage collection makes Spark's cleaner delete their shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.llm.bytehash import BASE, BYTE, INVERSE, U, mix, powers
-from siteweave.llm.common import durable, groups
+from siteweave.llm.common import durable, groups, release
 
 LENGTH, ANCHOR = 100, 48
 _LAST = np.iinfo(np.int64).max
@@ -315,6 +315,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     texts = keyed.mapInPandas(compressed, "grp int, doc_id long, packed binary")
     schema = "grp int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, packed binary, ranges binary, open binary"
     rows = durable(texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(first_answers, schema))
+    del answers, texts  # their shuffles are not needed any more
+    release(docs.sparkSession)
     pending = rows.filter("packed is not null").select("grp", "doc_id", "packed", "ranges", "open")
 
     def ranked_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
