@@ -98,11 +98,13 @@ def dedup_in_page(spark: SparkSession, d: str) -> DataFrame:
     return _firsts(spark, d).select("page_id", "pos", "url")
 
 
-@query(f"with {HREFS} select page_id, url from firsts where page_id % 2 = 1 and url not in (select url from firsts where page_id % 2 = 0)")
+@query(f"with {HREFS} select page_id, url from firsts where starts_with(page_url, 'https') and regexp_replace(url, '^https', 'http') not in (select url from firsts where not starts_with(page_url, 'https'))")
 def anti_discovered(spark: SparkSession, d: str) -> DataFrame:
-    rows = _firsts(spark, d).select("page_id", "url")
-    known = rows.filter("page_id % 2 = 0").select("url").distinct()
-    return rows.filter("page_id % 2 = 1").join(known, "url", "left_anti").select("page_id", "url")
+    """Links of https pages that weren't discovered by way of http before."""
+    rows = _firsts(spark, d).select("page_id", "page_url", "url")
+    secure = F.col("page_url").startswith("https")
+    known = rows.filter(~secure).select(F.col("url").alias("plain")).distinct()
+    return rows.filter(secure).withColumn("plain", F.regexp_replace("url", "^https", "http")).join(known, "plain", "left_anti").select("page_id", "url")
 
 
 @query(f"with {HREFS} select site, page_id, url from (select *, row_number() over (partition by site, url order by page_id, pos) as k from links) where k = 1")
@@ -113,8 +115,8 @@ def session_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {HREFS} select distinct site, url from links")
 def union_links(spark: SparkSession, d: str) -> DataFrame:
-    rows = _links(spark, d).select("site", "url", "page_id")
-    return rows.filter("page_id % 2 = 0").drop("page_id").union(rows.filter("page_id % 2 = 1").drop("page_id")).distinct()
+    rows = _links(spark, d).select("site", "url", F.col("page_url").startswith("https").alias("secure"))
+    return rows.filter("secure").drop("secure").union(rows.filter("not secure").drop("secure")).distinct()
 
 
 @query(f"with {HREFS} select page_id, url, (row_number() over (partition by page_id order by pos % 2, pos) - 1)::int as link_id, case when pos % 2 = 0 then 'static' else 'dynamic' end as source from firsts")
@@ -125,10 +127,11 @@ def union_all_links(spark: SparkSession, d: str) -> DataFrame:
     return both.select("page_id", "url", (F.row_number().over(w) - 1).cast("int").alias("link_id"), "source")
 
 
-@query(f"with {HREFS} select distinct url from links where url not in (select url from links where page_id % 3 = 0)")
+@query(f"with {HREFS} select distinct url from links where url not in (select url from links where contains(page_url, '?'))")
 def except_visited(spark: SparkSession, d: str) -> DataFrame:
-    rows = _links(spark, d).select("url", "page_id")
-    return rows.select("url").distinct().join(rows.filter("page_id % 3 = 0").select("url").distinct(), "url", "left_anti")
+    """Links that no page with a query in its address shows."""
+    rows = _links(spark, d).select("url", "page_url")
+    return rows.select("url").distinct().join(rows.filter(F.col("page_url").contains("?")).select("url").distinct(), "url", "left_anti")
 
 
 @query(f"with {HREFS} select site, count(distinct url) as unique_links, count(distinct page_id) as pages_visited from links group by site")
