@@ -95,9 +95,10 @@ def parse(html: str) -> Element:
     return b.root
 
 
+#: Address prefixes that are no links, attributes that hold addresses, and a call that leaves for a quoted address
+#: (assignments don't count): fixed values.
 SKIPPED = ("#", "javascript:", "mailto:", "tel:")
 DATA_ATTRIBUTES = ("data-href", "data-url", "data-link", "data-target")
-#: A call that leaves for a quoted address; assignments don't count.
 ONCLICK = re.compile(r"(?:location\.href|window\.open)\s*\(\s*[\"']([^\"']+)[\"']", re.I)
 KINDS = ("anchor", "area", "form", "button", "data", "onclick")
 

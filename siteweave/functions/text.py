@@ -87,6 +87,7 @@ def format_size(n: Column) -> Column:
     return F.when(n == 0, "0B").otherwise(out)
 
 
+# Bounds of the bands below are fixed values.
 def score_band(score: Column) -> Column:
     return F.when(score < 1, "very_low").when(score < 5, "low").when(score < 8, "medium").when(score < 9, "high").otherwise("very_high")
 

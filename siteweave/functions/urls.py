@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 #: Schemes whose references are resolved against a base (fixed values).
 RELATIVE = ("", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms", "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss")
+#: Prefixes of addresses that are no links (fixed values).
 SKIPPED = r"^(#|javascript:|mailto:|tel:)"
 
 

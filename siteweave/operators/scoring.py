@@ -117,7 +117,7 @@ DEFAULT_PROVIDER = "anthropic"
 def provider(asked: Column) -> Column:
     """The provider asked for or the default; an unknown one fails the query."""
     name = F.coalesce(F.nullif(asked, F.lit("")), F.lit(DEFAULT_PROVIDER))
-    return F.when(name.isin(*ANSWER_PATHS), name).otherwise(F.raise_error(F.concat(F.lit("Unsupported AI provider: "), name)))
+    return F.when(name.isin(*ANSWER_PATHS), name).otherwise(F.raise_error(F.concat(F.lit("no such provider: "), name)))
 
 
 def unwrapped(name: Column, body: Column) -> Column:

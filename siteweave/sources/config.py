@@ -38,11 +38,11 @@ def load(path: str) -> CrawlConfig:
     try:
         raw = json.loads(Path(path).read_text(encoding="utf-8"))
     except FileNotFoundError:
-        raise FileNotFoundError(f"Configuration file not found: {path}") from None
+        raise FileNotFoundError(f"no task file at {path}") from None
     except json.JSONDecodeError as e:
-        raise ValueError(f"Invalid JSON in {path}: {e}") from e
+        raise ValueError(f"{path} is no JSON: {e}") from e
     if not raw.get("url"):
-        raise ValueError("Missing required 'url' in task configuration")
+        raise ValueError("a task needs a url")
     return CrawlConfig(**{k: raw[k] for k in CrawlConfig.__dataclass_fields__ if raw.get(k) is not None})
 
 
@@ -61,7 +61,7 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 def with_defaults(tasks: DataFrame) -> DataFrame:
     """Settings with defaults; a missing url fails the query."""
-    url = F.when(F.coalesce(F.col("url"), F.lit("")) != "", F.col("url")).otherwise(F.raise_error(F.lit("Missing required 'url' in task configuration")))
+    url = F.when(F.coalesce(F.col("url"), F.lit("")) != "", F.col("url")).otherwise(F.raise_error(F.lit("a task needs a url")))
     return tasks.withColumns(
         {
             "url": url,
@@ -78,6 +78,6 @@ def suffixed(name: Column, suffix: str) -> Column:
 
 
 def default_names(url: Column, output: Column) -> tuple[Column, Column]:
-    """Names of the raw and the final result file."""
+    """Names of the raw and the final result file (fixed formats)."""
     final = F.coalesce(output, F.concat(F.lit("ai_crawl_results_"), urls.file_token(urls.domain(url)), F.lit(".json")))
     return suffixed(final, "_raw"), final
