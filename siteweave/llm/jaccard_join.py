@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     clusters = components(candidates(sets, groups(docs)))
     found = links(sets, clusters, percent)
     keyed = rows.filter("n > 0").select("doc_id", "n", "sig").join(found.toDF("sig", "low"), "sig", "left").select("doc_id", "n", F.coalesce("low", "sig").alias("key"))
-    lowest = keyed.groupBy("key").agg(F.min("doc_id").alias("component_id"))
+    lowest = durable(keyed.groupBy("key").agg(F.min("doc_id").alias("component_id")))  # written: a join of two plain exchanges can split a hot key
     some = keyed.join(lowest, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return some.union(rows.filter("n = 0").select("doc_id", "n", "doc_id"))
 
