@@ -28,7 +28,7 @@ from siteweave.llm.common import durable
 
 SLOTS, HASHES, MOST_LANGUAGES = 1 << 21, 2, 64
 LEAST, SHARE = 5, 0.4
-_BATCH_BYTES = 4 << 20
+_BATCH_BYTES = 1 << 20
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
