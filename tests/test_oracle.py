@@ -50,3 +50,24 @@ def test_every_core_query_has_an_oracle():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize(
+    "name,has",
+    [
+        ("frontier_top", "TakeOrderedAndProject"),
+        ("dedup_in_page", "WindowGroupLimit"),
+        ("anti_discovered", "LeftAnti"),
+        ("score_join", "LeftOuter"),
+        ("url_resolve", "Project"),
+        ("page_text", "Project"),
+        ("element_resolve", "Join"),
+        ("products_from_verify", "Join"),
+    ],
+)
+def test_plans(spark, name, has):
+    plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert has in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    if name in ("url_resolve", "page_text"):
+        assert "Exchange" not in plan and "Python" not in plan
