@@ -8,10 +8,9 @@ the tolerated substitutions fall into a full window, at least one mask lies on a
 A window shorter than WINDOW counts if, besides, a mask hits it.
 
 Plan: one scan of the documents; token hashes are made by array expressions, exploded, and their seeds looked up
-in the item seeds by a hash join inside the same stage, where the hit windows are compared at once, so no document
+in the item seeds by a hash join inside the same stage; what lies around a hit is cut out there and compared, so no document
 text is shuffled. Only confirmed (document, item) pairs are aggregated. The item seeds are broadcast only while
-their counted number is within MAX_BROADCAST_SEEDS; beyond, the seeds of both sides are shuffled by hash, and AQE
-splits skewed ones.
+their counted number is within MAX_BROADCAST_SEEDS; beyond, the seeds of both sides are shuffled by hash, and the hits joined back to the documents.
 
 Tokens: Unicode lower case, maximal runs of letters and digits. Defined results: null or empty text has
 no tokens, so it is never contaminated; rows that share a doc_id (null included) share the verdict, and each gives a
@@ -29,7 +28,7 @@ from siteweave.llm.common import durable, free
 #: Fixed masks, as offsets of the positions that count; lossless for 2 substitutions in 13 tokens.
 MASKS = ((0, 3, 4, 6, 8, 9), (0, 1, 3, 6, 7, 8))
 WINDOW, PERCENT, SHORTEST = 13, 80, 10
-MAX_BROADCAST_SEEDS = 400_000
+MAX_BROADCAST_SEEDS = 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -69,9 +68,9 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
 
 
 def _agrees() -> Column:
-    """Whether a window of the item that holds the hit (at, q) agrees with the document on the hit's diagonal."""
+    """Whether a window of the item that holds the hit q agrees with the document (near, from its place shift on) on the hit's diagonal."""
     w = F.least(F.lit(WINDOW), F.col("n"))
-    same = F.transform("around", lambda x, i: F.when(F.get(F.col("h"), F.col("at") - F.col("q") + F.col("first") + i) == x, 1).otherwise(0))
+    same = F.transform("around", lambda x, i: F.when(F.get(F.col("near"), i - F.col("shift")) == x, 1).otherwise(0))
     lowest = F.greatest(F.col("q") - (w - 1), F.lit(0))
     starts = F.sequence(lowest, F.greatest(F.least(F.col("q"), F.col("n") - w), lowest))
     return F.exists(starts, lambda s: F.aggregate(F.slice(same, s - F.col("first") + 1, w), F.lit(0), lambda a, b: a + b) * 100 >= w * PERCENT)
@@ -79,12 +78,17 @@ def _agrees() -> Column:
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     """Distinct (doc_key, item_id) of confirmed overlaps."""
-    items = item_seeds(benchmark)
-    small = items.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS
-    if not small:
-        items = items.hint("shuffle_hash")
-    hits = _exploded(_hashed(docs, "text", doc_key), doc_key, "h").join(F.broadcast(items) if small else items, "seed")
-    return hits.filter(_agrees()).select(doc_key, "item_id").distinct()
+    items, hashed = item_seeds(benchmark), _hashed(docs, "text", doc_key)
+    if items.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS:
+        hits = _exploded(hashed, doc_key, "h").join(F.broadcast(items), "seed")
+    else:  # seeds without texts are shuffled, and the documents once more for the hits
+        found = _exploded(hashed, doc_key).join(items.hint("shuffle_hash"), "seed").withColumnRenamed(doc_key, "hit_key")
+        hits = found.join(hashed, hashed[doc_key].eqNullSafe(found["hit_key"]))
+    # of the document only what lies around a hit leaves the join, and the comparison stays out of its condition: a condition
+    # that is not generated code would copy the whole document for every position
+    start = F.col("at") - F.col("q") + F.col("first")
+    near = hits.select(doc_key, "item_id", "q", "n", "first", "around", F.greatest(-start, F.lit(0)).alias("shift"), F.slice("h", F.greatest(start, F.lit(0)) + 1, F.lit(2 * WINDOW)).alias("near"))
+    return near.groupBy(doc_key, "item_id").agg(F.bool_or(_agrees()).alias("agrees")).filter("agrees").select(doc_key, "item_id")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

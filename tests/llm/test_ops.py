@@ -261,12 +261,14 @@ def test_masks_are_lossless():
         assert any(not {s + o for o in m} & set(bad) for m in decontaminate.MASKS for s in range(w - m[-1]))
 
 
-def test_leaks_with_substitutions(spark):
+@pytest.mark.parametrize("most", [decontaminate.MAX_BROADCAST_SEEDS, 0])
+def test_leaks_with_substitutions(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_SEEDS", most)
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     w = item.split()
-    docs = [(1, f"x y {item} z"), (2, " ".join("bad" if i in (3, 9) else x for i, x in enumerate(w))), (3, " ".join("bad" if i in (1, 5, 9, 12) else x for i, x in enumerate(w))), (4, " ".join(w[:9])), (5, item.upper().replace(" ", ", "))]
+    docs = [(1, f"x y {item} z"), (2, " ".join("bad" if i in (3, 9) else x for i, x in enumerate(w))), (3, " ".join("bad" if i in (1, 5, 9, 12) else x for i, x in enumerate(w))), (4, " ".join(w[:9])), (5, item.upper().replace(" ", ", ")), (None, item)]
     got = {r["doc_id"]: r["contaminated"] for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
-    assert got == {1: True, 2: True, 3: False, 4: False, 5: True}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: True, None: True}
 
 
 def test_html_of_driver_pages(spark):
