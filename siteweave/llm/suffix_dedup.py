@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -134,6 +135,9 @@ def _slices(*columns: np.ndarray) -> list[tuple[int, int]]:
 _SCHEMA = "bucket int, grp int, ids binary, hashes binary, ns binary, starts binary, ranks binary, keys binary"
 
 
+_ARROW = pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.binary()) for f in _SCHEMA.split(", ")])
+
+
 def _sent(n: int, grp: np.ndarray, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, rank: np.ndarray, key: np.ndarray) -> pd.DataFrame:
     """Rows for the buckets: the first of each class (rank, key) here, and, without ranks, the settled others."""
     order, _, other = _not_first([key, rank], [starts, hashes, ids])
@@ -223,6 +227,21 @@ def _hash(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[dict[str, list]]:
+    """A few rows of Arrow batches at a time as lists."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows).to_pydict()
+
+
+def _batch(rows: pd.DataFrame) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(rows, _ARROW, preserve_index=False)
+
+
 def _pieces(rows: Iterable[tuple], size: int = 1 << 20) -> Iterator[list[tuple]]:
     """Lists of rows (the last field is the text) of about size bytes of text."""
     held, n = [], 0
@@ -267,25 +286,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     n = groups(docs)
     keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("grp"), "doc_id", "text")
 
-    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        for b in batches:
-            texts = ((int(g), _key(i), (t or "").encode("utf-8", "surrogatepass")) for g, i, t in zip(b["grp"], b["doc_id"].astype(object), b["text"], strict=True))
+        for b in _sliced(batches):
+            texts = zip(b["grp"], map(_key, b["doc_id"]), map(_bytes, b["text"]), strict=True)
             for part in _pieces(texts):
                 r = Runs([x[2] for x in part], length, anchor)
                 grp, ids = np.array([x[0] for x in part]), np.array([x[1] for x in part])
                 hashes = np.array([_hash(x[2]) for x in part])
                 held.append((grp[r.text], ids[r.text], hashes[r.text], r.anchor, r.rank, r.run))
-                if sum(len(x[0]) for x in held) > 300_000:
-                    yield _sent(n, *(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held = []
+            if sum(len(x[0]) for x in held) > 250_000:
+                yield _batch(_sent(n, *(np.concatenate(x) for x in zip(*held, strict=True))))
+                held = []
         if held:
-            yield _sent(n, *(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield _batch(_sent(n, *(np.concatenate(x) for x in zip(*held, strict=True))))
 
-    def compressed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            yield pd.DataFrame({"grp": b["grp"], "doc_id": b["doc_id"].astype("Int64"), "packed": [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b["text"]]})
+        for b in _sliced(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(b["grp"], pa.int32()), pa.array(b["doc_id"], pa.int64()), pa.array([z.compress(_bytes(t)) for t in b["text"]], pa.binary())], names=["grp", "doc_id", "packed"])
 
     def first_answers(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         found, out, unzip = _by_document(answers), [], zstandard.ZstdDecompressor()
@@ -311,19 +330,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                     out.append((int(g), i, *_result(raw, ranges), None, None, None))
         return pd.DataFrame(out, columns=["grp", *RESULT, "packed", "ranges", "open"]).astype({c: "Int64" for c in RESULT[:4]})
 
-    answers = keyed.mapInPandas(ranked, _SCHEMA).groupBy("bucket").applyInPandas(_settle(True), _ANSWER)
-    texts = keyed.mapInPandas(compressed, "grp int, doc_id long, packed binary")
+    answers = keyed.mapInArrow(ranked, _SCHEMA).groupBy("bucket").applyInPandas(_settle(True), _ANSWER)
+    texts = keyed.mapInArrow(compressed, "grp int, doc_id long, packed binary")
     schema = "grp int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, packed binary, ranges binary, open binary"
     rows = durable(texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(first_answers, schema))
     del answers, texts  # their shuffles are not needed any more
     release(docs.sparkSession)
     pending = rows.filter("packed is not null").select("grp", "doc_id", "packed", "ranges", "open")
 
-    def ranked_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ranked_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        for b in batches:
-            held: list[tuple[np.ndarray, ...]] = []
-            texts = ((int(g), _key(i), o, unzip.decompress(p)) for g, i, o, p in zip(b["grp"], b["doc_id"].astype(object), b["open"], b["packed"], strict=True))
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in _sliced(batches):
+            texts = ((g, _key(i), o, unzip.decompress(p)) for g, i, o, p in zip(b["grp"], b["doc_id"], b["open"], b["packed"], strict=True))
             for part in _pieces(texts):
                 r = Runs([x[3] for x in part], length, anchor)
                 hit = np.zeros(len(r.text), bool)
@@ -335,11 +354,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 grp, ids = np.array([x[0] for x in part]), np.array([x[1] for x in part])
                 hashes = np.array([_hash(x[3]) for x in part])
                 held.append((grp[text], ids[text], hashes[text], start, r.rank[of], key))
-                if sum(len(x[0]) for x in held) > 400_000:
-                    yield _sent(n, *(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held = []
-            if held:
-                yield _sent(n, *(np.concatenate(x) for x in zip(*held, strict=True)))
+            if sum(len(x[0]) for x in held) > 250_000:
+                yield _batch(_sent(n, *(np.concatenate(x) for x in zip(*held, strict=True))))
+                held = []
+        if held:
+            yield _batch(_sent(n, *(np.concatenate(x) for x in zip(*held, strict=True))))
 
     def last_answers(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         found, out, unzip = _by_document(answers), [], zstandard.ZstdDecompressor()
@@ -350,7 +369,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
             out.append((i, *_result(raw, ranges)))
         return pd.DataFrame(out, columns=RESULT).astype({"doc_id": "Int64"})
 
-    again = pending.select("grp", "doc_id", "open", "packed").mapInPandas(ranked_strings, _SCHEMA).groupBy("bucket").applyInPandas(_settle(False), _ANSWER)
+    again = pending.select("grp", "doc_id", "open", "packed").mapInArrow(ranked_strings, _SCHEMA).groupBy("bucket").applyInPandas(_settle(False), _ANSWER)
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     late = pending.select("grp", "doc_id", "packed", "ranges").groupBy("grp").cogroup(again.groupBy("grp")).applyInPandas(last_answers, result)
     return rows.filter("packed is null").select(*RESULT).union(late)
