@@ -22,7 +22,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, (1 << 20) + (1 << 18))
+        size = max(n + n // 4, 1 << 18)
         p = np.full(size, U(base))
         p[0] = 1
         have = _powers[base] = np.cumprod(p, dtype=U)

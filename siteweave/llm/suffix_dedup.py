@@ -181,7 +181,7 @@ def _settle(with_open: bool):
             rows.clear()
             # ranges of ranks, one at a time, bound what is sorted
             low, high = int(rank.min()), int(rank.max()) + 1
-            parts = -(-len(rank) // 250_000)
+            parts = -(-len(rank) // 100_000)
             for k in range(parts):
                 own = np.flatnonzero((rank >= low + (high - low) * k // parts) & (rank < low + (high - low) * (k + 1) // parts))
                 if len(own):
@@ -242,7 +242,7 @@ def _batch(rows: pd.DataFrame) -> pa.RecordBatch:
     return pa.RecordBatch.from_pandas(rows, _ARROW, preserve_index=False)
 
 
-def _pieces(rows: Iterable[tuple], size: int = 1 << 20) -> Iterator[list[tuple]]:
+def _pieces(rows: Iterable[tuple], size: int = 1 << 18) -> Iterator[list[tuple]]:
     """Lists of rows (the last field is the text) of about size bytes of text."""
     held, n = [], 0
     for r in rows:
@@ -295,7 +295,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 grp, ids = np.array([x[0] for x in part]), np.array([x[1] for x in part])
                 hashes = np.array([_hash(x[2]) for x in part])
                 held.append((grp[r.text], ids[r.text], hashes[r.text], r.anchor, r.rank, r.run))
-            if sum(len(x[0]) for x in held) > 250_000:
+            if sum(len(x[0]) for x in held) > 120_000:
                 yield _batch(_sent(n, *(np.concatenate(x) for x in zip(*held, strict=True))))
                 held = []
         if held:
@@ -354,7 +354,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 grp, ids = np.array([x[0] for x in part]), np.array([x[1] for x in part])
                 hashes = np.array([_hash(x[3]) for x in part])
                 held.append((grp[text], ids[text], hashes[text], start, r.rank[of], key))
-            if sum(len(x[0]) for x in held) > 250_000:
+            if sum(len(x[0]) for x in held) > 120_000:
                 yield _batch(_sent(n, *(np.concatenate(x) for x in zip(*held, strict=True))))
                 held = []
         if held:
