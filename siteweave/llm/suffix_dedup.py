@@ -78,7 +78,7 @@ class Runs:
         # empty texts share their start with the next one, which is the one that has bytes
         whole = mix((self.total[last + length] - self.total[first]) * self.back[first])
         self.run = mix(whole + (last - spot).astype(U) * _STEP + (spot - first).astype(U) * U(0xA24BAED4963EE407))
-        self.rank = (h[spot] >> U(32)).astype(np.uint32)
+        self.rank = (mix(h[spot]) >> U(32)).astype(np.uint32)  # least fingerprints crowd near 0: mixed again, they spread over the buckets
         shift = self.at[self.text]
         self.anchor, self.first, self.last = spot - shift, first - shift, last - shift
 
