@@ -314,3 +314,11 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, DATA).collect()
     assert 0 < len(rows) < spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert all(r["round_trip"] for r in rows)
+
+
+def test_anchor_ranks_spread_over_buckets():
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(60_000)).encode()
+    ranks = suffix_dedup.Runs([text], 100, 48).rank
+    per_bucket = np.bincount(ranks >> 28, minlength=16)
+    assert per_bucket.max() < 2 * per_bucket.mean()
