@@ -137,6 +137,28 @@ def test_line_dedup_against_brute_force(spark):
     assert cut > 20
 
 
+def test_line_runs_against_brute_force(spark):
+    rng = random.Random(9)
+    passages = [[f"passage {k} line {i}" for i in range(rng.randint(2, 6))] for k in range(12)] + [["", ""], ["a", "a", "a"]]
+    texts = ["\n".join(x for _ in range(rng.randint(0, 4)) for x in rng.choice([rng.choice(passages), [f"own {rng.random()}" for _ in range(rng.randint(0, 3))]])) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "k", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    whole = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, line_dedup.pairs).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.digest(docs).collect()}
+    seen, cut, stay = set(), 0, 0
+    for i, t in enumerate(texts):
+        lines, gone = t.split("\n"), set()
+        for a in range(len(lines) - 1):
+            most = max((n for n in range(2, len(lines) - a + 1) if tuple(lines[a : a + n]) in seen), default=0)
+            gone |= set(range(a, a + most))
+            # every run that ends with the pair at a occurred from its first line on
+            seen |= {tuple(lines[b : a + 2]) for b in range(a + 1)}
+        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        assert (got[i]["n_lines"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(lines), len(gone), hashlib.sha256(kept.encode()).hexdigest()), i
+        assert (whole[i]["text"], whole[i]["n_chars"]) == (kept, len(kept))
+        cut, stay = cut + len(gone), stay + len(lines) - len(gone)
+    assert cut > 100 and stay > 100
+
+
 def test_boundaries_recover():
     base = [f"l{i}" for i in range(40)]
     ends = lambda lines: {tuple(lines[a:z]) for a, z in line_dedup.chunks("\n".join(lines))}
