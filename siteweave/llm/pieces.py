@@ -10,7 +10,10 @@ spaces before it, a line feed). Segments are looked up in a per-worker cache; ne
 gives the gap to their second-best path. Only the N - 1 occurrences of least gap can differ from the best segmentation among
 the N best of a text, so A* visits these alone and their alternatives are merged.
 
-Plan: one pass with Arrow batches, no shuffle; the vocabulary (a fixed file of at most MAX_PIECES) is broadcast.
+With each of the N best come the segments in which it differs from the best one and their piece ids, at most N - 1 of them; ``alternative`` puts
+them in the place of the best segmentation's ids.
+
+Plan: a pass with Arrow batches that encodes and one that decodes, no shuffle; the vocabulary (a fixed file of at most MAX_PIECES) is broadcast.
 Decoding is lossless: a literal ``▁`` is encoded as bytes. Defined results: null or empty text has no pieces and no scores;
 a text with fewer than N segmentations has fewer scores; ties keep the longer last piece.
 """
@@ -25,6 +28,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from siteweave.llm.bytehash import U, powers
 
@@ -51,6 +56,19 @@ def load(path: str = MODEL) -> tuple[list[str], list[int]]:
     return ["" if s else p.replace("▁", " ") for p, s in zip(names, special, strict=True)], [names.index(f"<0x{b:02X}>") for b in range(256)]
 
 
+def outputs(pieces: list[str], bytes_: list[int]) -> list[bytes]:
+    """The bytes that each id stands for."""
+    out = [p.encode() for p in pieces]
+    for b, i in enumerate(bytes_):
+        out[i] = bytes([b])
+    return out
+
+
+def join(out: list[bytes], ids: list[int]) -> str:
+    """The text of ids, without the space put in front."""
+    return b"".join(map(out.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
+
+
 class Encoder:
     def __init__(self, pieces: list[str], bytes_: list[int]):
         self.pieces, self.byte_ids = pieces, bytes_
@@ -62,9 +80,7 @@ class Encoder:
             self.logp[i] = -math.log(r + 1) - total
         self.byte_logp = float(self.logp.min()) - 10.0
         self.longest = max(map(len, self.ids))
-        self.out = [p.encode() for p in pieces]
-        for b, i in enumerate(bytes_):
-            self.out[i] = bytes([b])
+        self.out = outputs(pieces, bytes_)
         self._table()
         self._clear()
 
@@ -277,8 +293,19 @@ class Encoder:
         return ids, [best + d for d, _ in merged], [e for _, e in merged]
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.out.__getitem__, ids.tolist()))
-        return raw[1:].decode("utf-8", "surrogatepass")
+        return join(self.out, ids.tolist())
+
+    def alternative(self, ids: list[int], changes: list[tuple[int, list[int]]]) -> list[int]:
+        """Ids of one of the n best segmentations, from those of the best and the segments that differ."""
+        segs = SEGMENT.findall(b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "surrogatepass"))
+        new, out, at = dict(changes), [], 0
+        for k, seg in enumerate(segs):
+            a, size = at, len(seg.encode("utf-8", "surrogatepass"))
+            while size:
+                size -= len(self.out[ids[at]])
+                at += 1
+            out += new.get(k, ids[a:at])
+        return out
 
     def warm(self, texts: list[str | None]) -> None:
         """Put the segments of many texts through the lattice at once."""
@@ -293,9 +320,29 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def decode(df: DataFrame, path: str = MODEL) -> DataFrame:
+    """All columns of df and decoded: the text that the column ids stands for (null where ids is)."""
+    vocabulary = df.sparkSession.sparkContext.broadcast(outputs(*load(path)))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                ids = b.column("ids")
+                flat, sizes = ids.flatten().to_numpy().tolist(), ids.value_lengths().to_pylist()
+                texts, at = [], 0
+                for size in sizes:
+                    texts.append(None if size is None else join(vocabulary.value, flat[at : at + size]))
+                    at += size or 0
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
+
+    return df.mapInArrow(rows, StructType([*df.schema.fields, StructField("decoded", StringType())]))
+
+
 def encode(docs: DataFrame, n: int = N_BEST, path: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces, ids, n_best_scores (best first), n_best_changes (per segmentation: changed segments), round_trip (decoding gives the text back)."""
+    """doc_id, n_pieces, ids, n_best_scores (best first), n_best_changes (per segmentation: changed segments with their ids), round_trip (decode() gives the text back)."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(path))
+    change = pa.struct([("segment", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoders.get(path)
@@ -312,13 +359,15 @@ def encode(docs: DataFrame, n: int = N_BEST, path: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id"),
+                        b.column("text"),
                         pa.array(np.diff(offsets).astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
                         pa.array([g[1] for g in got], pa.list_(pa.float64())),
-                        pa.array([[[k for k, _ in e] for e in g[2]] for g in got], pa.list_(pa.list_(pa.int32()))),
-                        pa.array([enc.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]),
+                        pa.array([[[{"segment": k, "ids": i} for k, i in e] for e in g[2]] for g in got], pa.list_(pa.list_(change))),
                     ],
-                    names=["doc_id", "n_pieces", "ids", "n_best_scores", "n_best_changes", "round_trip"],
+                    names=["doc_id", "text", "n_pieces", "ids", "n_best_scores", "n_best_changes"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_pieces long, ids array<int>, n_best_scores array<double>, n_best_changes array<array<int>>, round_trip boolean")
+    schema = "doc_id long, text string, n_pieces long, ids array<int>, n_best_scores array<double>, n_best_changes array<array<struct<segment: int, ids: array<int>>>>"
+    encoded = decode(docs.select("doc_id", "text").mapInArrow(rows, schema), path)
+    return encoded.select("doc_id", "n_pieces", "ids", "n_best_scores", "n_best_changes", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

@@ -249,6 +249,26 @@ def test_pieces_round_trip_and_library_decoding(spark):
     assert all(list(r["n_best_scores"]) == sorted(r["n_best_scores"], reverse=True) for r in rows)
 
 
+def test_pieces_alternatives_and_decoding(spark):
+    enc = pieces.Encoder(*pieces.load())
+    docs = [(1, "the  cat\n\nnaïve 𝒳▁ things"), (2, "a"), (3, ""), (4, None), (5, " lead"), (6, "somewhat longer words undecidedly segmented " * 3)]
+    encoded = pieces.encode(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = {r["doc_id"]: r for r in encoded.collect()}
+    for i, text in docs:
+        r, found = rows[i], []
+        for score, changes in zip(r["n_best_scores"], r["n_best_changes"], strict=True):
+            ids = enc.alternative(r["ids"], [(c["segment"], c["ids"]) for c in changes])
+            found.append((i, ids))
+            whole = enc.logp[ids].sum() + sum(enc.byte_logp for x in ids if x in enc.byte_ids)
+            assert len(changes) < pieces.N_BEST and np.isclose(whole, score)
+        assert len({tuple(x) for _, x in found}) == len(found) == (pieces.N_BEST if i in (1, 6) else len(found))
+        if found:
+            assert found[0][1] == r["ids"]
+            assert {x["decoded"] for x in pieces.decode(spark.createDataFrame(found, "doc_id long, ids array<int>")).collect()} == {text}
+    assert [x["decoded"] for x in pieces.decode(encoded).orderBy("doc_id").collect()] == [t or "" for _, t in docs]
+    assert pieces.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).first()["decoded"] is None
+
+
 def test_quality_counts():
     def plain(t):
         words = re.findall(r"[^\x20\x09-\x0D]+", t)
