@@ -352,6 +352,17 @@ def test_urls(spark):
     assert got[1]["host"] == "m.example.org" and got[5]["host"] == "" and got[3]["path"] == "/de/2"
 
 
+def test_pipeline_cuts_short_passages(spark):
+    rng = random.Random(10)
+    own = lambda: [f"own {rng.random()}" for _ in range(rng.randint(1, 4))]
+    for size in (2, 3, 5):
+        passage = [f"passage line {k} " + "of many words " * 10 for k in range(size)]
+        parts = [(own(), own()) for _ in range(12)]
+        docs = [(i, "\n".join([*a, *passage, *z])) for i, (a, z) in enumerate(parts)]
+        got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), DATA).collect()}
+        assert got == {i: "\n".join([*a, *passage * (i == 0), *z]) for i, (a, z) in enumerate(parts)}
+
+
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, DATA).collect()
     assert 0 < len(rows) < spark.read.parquet(f"{DATA}/documents.parquet").count()
