@@ -1,8 +1,8 @@
-"""Exact substring dedup: bytes covered by a LENGTH-byte string that also starts earlier, found by distributed prefix doubling.
+"""Exact substring dedup: bytes covered by a LENGTH-byte string that also starts earlier, found by anchor-and-fingerprint grouping.
 
-A start's rank is the class of equal strings of a given length that begin there. Ranks of the first length come from fingerprints;
-Spark brings equal ranks together, starts of unique rank leave, and the others are ranked again by pairs (rank, rank further on),
-until they are unique or the threshold is passed. Three rounds suffice, as a fingerprint of any length is two lookups:
+This is not prefix doubling (pairs of ranks at growing offsets) but another method, chosen for the disk budget. A start's rank is the class
+of equal strings of a given length that begin there, identified by fingerprint. Spark brings equal ranks together, starts of unique rank
+leave, and the others are grouped again by longer strings. Three rounds suffice, as a fingerprint of any length is two lookups:
 
 1. ANCHOR bytes, at sampled starts only: of every LENGTH-byte string the ANCHOR-gram of least fingerprint (the leftmost of equals), so
    that equal strings have equal anchors at equal offsets. The strings with one anchor occurrence are its run, of consecutive starts.
@@ -11,7 +11,7 @@ until they are unique or the threshold is passed. Three rounds suffice, as a fin
 3. The pair (anchor, LENGTH bytes), for all starts of the runs that are left (firsts of classes that share an anchor): a start that
    isn't the first of its class starts earlier elsewhere.
 
-Ranking all starts from length 1 would shuffle 16 bytes a text byte and round; this is about 14 / 25 bytes in the first round and 8
+By estimate (not measured), doubling from length 1 would shuffle 16 bytes a text byte and round; this is about 14 / 25 bytes in the first round and 8
 bytes for each of the few per cent of starts of the third.
 
 Plan: ranks travel packed to buckets by hash; a task sends one row per class it has, and settles its other members itself, so a string of
