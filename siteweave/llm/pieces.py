@@ -8,7 +8,8 @@ these are exact heuristics for a backward A* search that takes the N best segmen
 No piece holds a space after another character, or a line feed, so the lattice falls into independent segments (a word with the
 spaces before it, a line feed). Segments are looked up in a per-worker cache; new ones go through a vectorised Viterbi that also
 gives the gap to their second-best path. Only the N - 1 occurrences of least gap can differ from the best segmentation among
-the N best of a text, so A* visits these alone and their alternatives are merged.
+the N best of a text, so A* visits these alone and their alternatives are merged. A segment of any length costs time and memory in
+proportion to it: every hypothesis that leaves the queue becomes a segmentation, also among equally good ones.
 
 With each of the N best come the segments in which it differs from the best one and their piece ids, at most N - 1 of them; ``alternative`` puts
 them in the place of the best segmentation's ids.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -39,6 +41,10 @@ N_BEST = 4
 SEGMENT = re.compile(r" *[^ \n]+| +|\n")
 #: Segments up to this length are vectorised; the cache is emptied beyond so many.
 VECTOR_CHARS, CACHED = 48, 400_000
+#: Ids in the cache beyond which it is emptied; long segments: starts in a block, and length up to which the edges are held.
+CACHED_IDS, BLOCK, HELD_CHARS = 20_000_000, 1 << 18, 1 << 21
+#: Scores are multiples of 1 / GRAIN.
+GRAIN = 1 << 20
 _CODE_BASE = 0xC6BC279692B5C323
 _BITS = 20
 
@@ -78,6 +84,8 @@ class Encoder:
         for r, (i, p) in enumerate((i, p) for i, p in enumerate(pieces) if p):
             self.ids.setdefault(p, i)
             self.logp[i] = -math.log(r + 1) - total
+        # multiples of a power of two: sums are exact in any order, so equal scores are equal numbers
+        self.logp = np.round(self.logp * GRAIN) / GRAIN
         self.byte_logp = float(self.logp.min()) - 10.0
         self.longest = max(map(len, self.ids))
         self.out = outputs(pieces, bytes_)
@@ -99,25 +107,106 @@ class Encoder:
         return out
 
     def n_best(self, seg: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations, best first: forward Viterbi, then backward A* with its exact heuristics."""
+        """The n best segmentations, best first: forward Viterbi, then backward A* with its exact heuristics.
+
+        The best edge into a node leaves a hypothesis' estimate as it is, so a hypothesis that leaves the queue is followed along best edges
+        to the start at once, and the other edges on its way join the queue. Each pop thus gives a segmentation, however many are equally good.
+        """
+        if len(seg) > VECTOR_CHARS:
+            return self._n_best_long(seg, n)
         edges = self.edges(seg)
-        ahead = [0.0] + [-math.inf] * len(seg)
+        ahead, came = [0.0] + [-math.inf] * len(seg), [(0, 0, 0.0)] * (len(seg) + 1)
         for e in range(1, len(seg) + 1):
-            ahead[e] = max(ahead[a] + s for a, _, s in edges[e])
+            for edge in edges[e]:
+                if ahead[edge[0]] + edge[2] > ahead[e]:
+                    ahead[e], came[e] = ahead[edge[0]] + edge[2], edge
         queue: list[tuple[float, int, int, float, tuple | None]] = [(-ahead[-1], 0, len(seg), 0.0, None)]
         pushed, found = 0, []
         while queue and len(found) < n:
             _, _, e, behind, path = heapq.heappop(queue)
-            if e == 0:
-                ids: list[int] = []
-                while path:
-                    (a, z, i), path = path
-                    ids += [i] if i >= 0 else [self.byte_ids[b] for b in seg[a:z].encode("utf-8", "surrogatepass")]
-                found.append((behind, ids))
-                continue
-            for a, i, s in edges[e]:
+            while e:
+                for edge in edges[e]:
+                    if edge is not came[e]:
+                        a, i, s = edge
+                        pushed += 1
+                        heapq.heappush(queue, (-(behind + s + ahead[a]), pushed, a, behind + s, ((a, e, i), path)))
+                a, i, s = came[e]
+                path, behind, e = ((a, e, i), path), behind + s, a
+            ids: list[int] = []
+            while path:
+                (a, z, i), path = path
+                ids += [i] if i >= 0 else [self.byte_ids[b] for b in seg[a:z].encode("utf-8", "surrogatepass")]
+            found.append((behind, ids))
+        return found
+
+    def _blocks(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Edges of one long segment, BLOCK starts at a time, sorted by start: start, length, piece id or -1, score."""
+        width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        for lo in range(0, len(codes), BLOCK):
+            part = codes[lo : lo + BLOCK + self.longest - 1]
+            total, alive = self._prefix_sums(part), np.arange(min(BLOCK, len(codes) - lo))
+            bare, found = np.ones(len(alive), bool), []
+            for k in range(1, self.longest + 1):
+                alive = alive[alive + k <= len(part)]
+                if not len(alive):
+                    break
+                got = self._look_up(self._code_hash(total, alive, k))
+                alive, got = alive[got != -2], got[got != -2]
+                real = got >= 0
+                if k == 1:
+                    bare[alive[real]] = False
+                found.append((alive[real], np.full(int(real.sum()), k), got[real].astype(np.int64), self.logp[got[real]]))
+            odd = np.flatnonzero(bare)
+            found.append((odd, np.ones(len(odd), np.int64), np.full(len(odd), -1), self.byte_logp * width[lo + odd]))
+            start, length, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((length, start))
+            yield start[order] + lo, length[order], ids[order], score[order]
+
+    def _n_best_long(self, seg: str, n: int) -> list[tuple[float, list[int]]]:
+        """n_best() with the edges in arrays: memory and time grow with the length, and only n side edges of a hypothesis join the queue."""
+        codes = np.frombuffer(seg.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = len(codes)
+        kept = list(self._blocks(codes)) if size <= HELD_CHARS else None
+        best, came = [0.0] + [-math.inf] * size, [0] * (size + 1)
+        for block in kept or self._blocks(codes):
+            for a, k, s in zip(block[0].tolist(), block[1].tolist(), block[3].tolist(), strict=True):
+                if best[a] + s > best[a + k]:  # the first, i.e. longest, of equals stays
+                    best[a + k], came[a + k] = best[a] + s, k
+        ahead, back = np.array(best), np.array(came)
+        queue: list[tuple[float, int, list[tuple[int, int]]]] = [(-best[-1], 0, [])]
+        pushed, found = 0, []
+        while queue and len(found) < n:
+            cost, _, turns = heapq.heappop(queue)
+            spans, e = [], size
+            for end, start in [*turns, (0, 0)]:
+                while e > end:
+                    spans.append((e - came[e], e))
+                    e -= came[e]
+                if e:
+                    spans.append((start, end))
+                    e = start
+            ids: list[int] = []
+            for a, e in reversed(spans):
+                i = self.ids.get(seg[a:e])
+                ids += [i] if i is not None else [self.byte_ids[b] for b in seg[a:e].encode("utf-8", "surrogatepass")]
+            found.append((-cost, ids))
+            if len(found) == n:
+                break
+            on_path = np.zeros(size + 1, bool)
+            free = turns[-1][1] if turns else size
+            on_path[[e for _, e in spans if e <= free]] = True
+            side: list[tuple[float, int, int]] = []
+            for start, length, _, score in kept or self._blocks(codes):
+                end = start + length
+                own = np.flatnonzero(on_path[end] & (back[end] != length))
+                loss = ahead[end[own]] - ahead[start[own]] - score[own]
+                if len(own) > n:
+                    few = np.argpartition(loss, n - 1)[:n]
+                    own, loss = own[few], loss[few]
+                side += zip(loss.tolist(), end[own].tolist(), start[own].tolist(), strict=True)
+            for loss, end, start in heapq.nsmallest(n - len(found), side):
                 pushed += 1
-                heapq.heappush(queue, (-(behind + s + ahead[a]), pushed, a, behind + s, ((a, e, i), path)))
+                heapq.heappush(queue, (cost + loss, pushed, [*turns, (end, start)]))
         return found
 
     # -- vectorised Viterbi over many segments ------------------------------------------------------------------------
@@ -242,6 +331,8 @@ class Encoder:
         self._flat, self._used = np.empty(1 << 20, np.int32), 0
         self._starts, self._counts = np.empty(CACHED * 2, np.int64), np.empty(CACHED * 2, np.int64)
         self._scores, self._gaps = np.empty(CACHED * 2), np.empty(CACHED * 2)
+        self._alternatives: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
+        self._held = 0
 
     def _add(self, segs: list[str]) -> None:
         short = [s for s in segs if len(s) <= VECTOR_CHARS]
@@ -249,8 +340,17 @@ class Encoder:
             self._put(short[lo : lo + 20_000], *self._viterbi(short[lo : lo + 20_000]))
         for s in segs:
             if len(s) > VECTOR_CHARS:
-                two = self.n_best(s, 2)
-                self._put([s], np.array(two[0][1], np.int32), np.array([len(two[0][1])]), np.array([two[0][0]]), np.array([two[0][0] - two[1][0] if len(two) > 1 else math.inf]))
+                found = self._options(s, N_BEST)
+                best = found[0]
+                self._put([s], np.array(best[1], np.int32), np.array([len(best[1])]), np.array([best[0]]), np.array([best[0] - found[1][0] if len(found) > 1 else math.inf]))
+
+    def _options(self, seg: str, n: int) -> list[tuple[float, list[int]]]:
+        """n_best(), kept for the next time; long segments have many ids and are kept only until the cache is emptied."""
+        got = self._alternatives.get((seg, n))
+        if got is None:
+            got = self._alternatives[seg, n] = self.n_best(seg, n)
+            self._held += sum(len(i) for _, i in got)
+        return got
 
     def _put(self, segs: list[str], flat: np.ndarray, count: np.ndarray, score: np.ndarray, gap: np.ndarray) -> None:
         a, z = len(self._known), len(self._known) + len(segs)
@@ -266,31 +366,53 @@ class Encoder:
 
     # -- texts --------------------------------------------------------------------------------------------------------
 
-    def encode(self, text: str | None, n: int = N_BEST) -> tuple[np.ndarray, list[float], list[list[tuple[int, list[int]]]]]:
-        """Ids of the best segmentation, the n best scores, and for each of these the segments that differ (number, ids)."""
-        if not text:
-            return np.empty(0, np.int32), [], []
-        segs = SEGMENT.findall(f" {text}")
-        if len(self._known) > CACHED:
+    def encode_all(self, texts: list[str | None], n: int = N_BEST) -> tuple[np.ndarray, np.ndarray, list[list[float]], list[list[list[tuple[int, list[int]]]]]]:
+        """Of many texts: all ids of the best segmentations, their number by text, the n best scores, and for each of these the segments that differ (number, ids)."""
+        if len(self._known) > CACHED or self._used + self._held > CACHED_IDS:
             self._clear()
-        known = self._known
-        new = [s for s in dict.fromkeys(segs) if s not in known]
+        known, segs, sizes = self._known, [], []
+        for t in texts:
+            own = SEGMENT.findall(f" {t}") if t else []
+            segs += own
+            sizes.append(len(own))
+        new = set(segs).difference(known)
         if new:
-            self._add(new)
+            self._add(sorted(new))
+        if not segs:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64), [[] for _ in texts], [[] for _ in texts]
         at = np.fromiter(map(known.__getitem__, segs), np.int64, len(segs))
-        count = self._counts[at]
-        ends = np.cumsum(count)
+        count, gaps, ends = self._counts[at], self._gaps[at], np.cumsum(self._counts[at])
         ids = self._flat[np.repeat(self._starts[at] - ends + count, count) + np.arange(ends[-1])]
-        best = float(self._scores[at].sum())
-        gaps = self._gaps[at]
-        near = np.argpartition(gaps, n - 1)[: n - 1] if len(gaps) >= n else np.arange(len(gaps))
-        merged: list[tuple[float, list[tuple[int, list[int]]]]] = [(0.0, [])]
-        for k in sorted(near.tolist()):
-            if math.isfinite(gaps[k]):
-                options = self.n_best(segs[k], n)
-                top = options[0][0]
-                merged = heapq.nlargest(n, ((d + s - top, e + [(k, i)] * (r > 0)) for d, e in merged for r, (s, i) in enumerate(options)), key=lambda x: x[0])
-        return ids, [best + d for d, _ in merged], [e for _, e in merged]
+        cut = np.cumsum([0, *sizes])
+        total = np.append(0, ends)[cut]
+        best = np.append(0.0, np.cumsum(self._scores[at]))[cut]  # exact: the scores are multiples of a power of two
+        scores, changes = [], []
+        for i, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+            if a == z:
+                scores.append([])
+                changes.append([])
+                continue
+            own = gaps[a:z]
+            near = np.sort(np.argpartition(own, n - 1)[: n - 1]).tolist() if z - a >= n else range(z - a)
+            merged: list[tuple[float, list[tuple[int, list[int]]]]] = [(0.0, [])]
+            for k in near:
+                if own[k] < math.inf:
+                    options = self._options(segs[a + k], n)
+                    top, few = options[0][0], []
+                    for d, e in merged:
+                        few.append((d, e))
+                        few += [(d + s - top, [*e, (k, i)]) for s, i in options[1:]]
+                    few.sort(key=lambda x: -x[0])
+                    merged = few[:n]
+            base = float(best[i + 1] - best[i])
+            scores.append([base + d for d, _ in merged])
+            changes.append([e for _, e in merged])
+        return ids, np.diff(total), scores, changes
+
+    def encode(self, text: str | None, n: int = N_BEST) -> tuple[np.ndarray, list[float], list[list[tuple[int, list[int]]]]]:
+        """Ids of the best segmentation, the n best scores, and for each of these the segments that differ (number, ids)."""
+        ids, _, scores, changes = self.encode_all([text], n)
+        return ids, scores[0], changes[0]
 
     def decode(self, ids: np.ndarray) -> str:
         return join(self.out, ids.tolist())
@@ -307,14 +429,28 @@ class Encoder:
             out += new.get(k, ids[a:at])
         return out
 
-    def warm(self, texts: list[str | None]) -> None:
-        """Put the segments of many texts through the lattice at once."""
-        if len(self._known) > CACHED:
-            self._clear()
-        new = {s for t in texts if t for s in SEGMENT.findall(f" {t}")}
-        new.difference_update(self._known)
-        if new:
-            self._add(sorted(new))
+
+class Decoder:
+    """Bytes of pieces in one array, so that many ids are turned to text by a few array operations."""
+
+    def __init__(self, out: list[bytes]):
+        self.size = np.fromiter(map(len, out), np.int64, len(out))
+        self.first = np.cumsum(self.size) - self.size
+        self.raw = np.frombuffer(b"".join(out), np.uint8)
+
+    def texts(self, ids: pa.ListArray) -> pa.StringArray:
+        """The text of each list of ids, without the space put in front; a null list gives null, bytes that aren't UTF-8 raise."""
+        flat, n = ids.flatten().to_numpy().astype(np.int64), np.array([x or 0 for x in ids.value_lengths().to_pylist()], np.int64)
+        size = self.size[flat]
+        ends = np.cumsum(size)
+        raw = self.raw[np.repeat(self.first[flat] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        cut = np.append(0, ends)[np.cumsum(np.append(0, n))]
+        keep = np.ones(len(raw), bool)
+        keep[cut[:-1][np.diff(cut) > 0]] = False
+        offsets = cut - np.cumsum(np.append(0, np.diff(cut) > 0))
+        got = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[keep].tobytes()))
+        got.validate(full=True)
+        return pa.compute.if_else(ids.is_null(), None, got).cast(pa.string())
 
 
 _encoders: dict[str, Encoder] = {}
@@ -322,27 +458,33 @@ _encoders: dict[str, Encoder] = {}
 
 def decode(df: DataFrame, path: str = MODEL) -> DataFrame:
     """All columns of df and decoded: the text that the column ids stands for (null where ids is)."""
-    vocabulary = df.sparkSession.sparkContext.broadcast(outputs(*load(path)))
+    vocabulary = df.sparkSession.sparkContext.broadcast(Decoder(outputs(*load(path))))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 b = whole.slice(lo, 500)
-                ids = b.column("ids")
-                flat, sizes = ids.flatten().to_numpy().tolist(), ids.value_lengths().to_pylist()
-                texts, at = [], 0
-                for size in sizes:
-                    texts.append(None if size is None else join(vocabulary.value, flat[at : at + size]))
-                    at += size or 0
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*b.columns, vocabulary.value.texts(b.column("ids"))], names=[*b.schema.names, "decoded"])
 
     return df.mapInArrow(rows, StructType([*df.schema.fields, StructField("decoded", StringType())]))
 
 
+def _changes(found: list[list[list[tuple[int, list[int]]]]]) -> pa.ListArray:
+    """An Arrow list per text of a list per segmentation of (segment, ids)."""
+    lists = [e for f in found for e in f]
+    pairs = [p for e in lists for p in e]
+
+    def ends(of: list) -> pa.Array:
+        return pa.array(np.cumsum([0, *map(len, of)]).astype(np.int32))
+
+    ids = pa.ListArray.from_arrays(ends([i for _, i in pairs]), pa.array([x for _, i in pairs for x in i], pa.int32()))
+    each = pa.StructArray.from_arrays([pa.array([k for k, _ in pairs], pa.int32()), ids], ["segment", "ids"])
+    return pa.ListArray.from_arrays(ends(found), pa.ListArray.from_arrays(ends(lists), each))
+
+
 def encode(docs: DataFrame, n: int = N_BEST, path: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, ids, n_best_scores (best first), n_best_changes (per segmentation: changed segments with their ids), round_trip (decode() gives the text back)."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(path))
-    change = pa.struct([("segment", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoders.get(path)
@@ -352,18 +494,16 @@ def encode(docs: DataFrame, n: int = N_BEST, path: str = MODEL) -> DataFrame:
             for lo in range(0, whole.num_rows, 500):
                 b = whole.slice(lo, 500)
                 texts = b.column("text").to_pylist()
-                enc.warm(texts)
-                got = [enc.encode(t, n) for t in texts]
-                ids = [g[0] for g in got]
-                offsets = np.cumsum([0] + [len(i) for i in ids], dtype=np.int32)
+                ids, sizes, scores, changes = enc.encode_all(texts, n)
+                offsets = np.cumsum(np.append(0, sizes)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id"),
                         b.column("text"),
-                        pa.array(np.diff(offsets).astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
-                        pa.array([g[1] for g in got], pa.list_(pa.float64())),
-                        pa.array([[[{"segment": k, "ids": i} for k, i in e] for e in g[2]] for g in got], pa.list_(pa.list_(change))),
+                        pa.array(sizes),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
+                        pa.array(scores, pa.list_(pa.float64())),
+                        _changes(changes),
                     ],
                     names=["doc_id", "text", "n_pieces", "ids", "n_best_scores", "n_best_changes"],
                 )

@@ -375,3 +375,32 @@ def test_anchor_ranks_spread_over_buckets():
     ranks = suffix_dedup.Runs([text], 100, 48).rank
     per_bucket = np.bincount(ranks >> 28, minlength=16)
     assert per_bucket.max() < 2 * per_bucket.mean()
+
+
+def test_pieces_ties_and_long_segments():
+    enc = pieces.Encoder(*pieces.load())
+    rng = random.Random(11)
+
+    def brute(seg):
+        edges, out = enc.edges(seg), []
+
+        def back(e, score):
+            if e == 0:
+                out.append(score)
+            else:
+                for a, _, s in edges[e]:
+                    back(a, score + s)
+
+        back(len(seg), 0.0)
+        return sorted(out, reverse=True)
+
+    for seg in ("a" * 14, "x" * 12, "aaabaaab", "  " * 5, "".join(rng.choice("the ") for _ in range(14))):
+        whole = brute(seg)[:6]
+        for found in (enc.n_best(seg, 6), enc._n_best_long(seg, 6)):
+            assert [s for s, _ in found] == whole
+            assert len({tuple(i) for _, i in found}) == len(found)
+            assert all(enc.decode(np.array([enc.ids[" "], *i])) == seg for _, i in found)
+    for text in ("a" * 127, "x" * 255, "a" * 100_000, "".join(rng.choice("abcdé") for _ in range(60_000))):
+        ids, scores, changes = enc.encode(text, 4)
+        assert enc.decode(ids) == text and len(scores) == 4
+        assert len({tuple(enc.alternative(ids.tolist(), c)) for c in changes}) == 4
