@@ -404,3 +404,47 @@ def test_pieces_ties_and_long_segments():
         ids, scores, changes = enc.encode(text, 4)
         assert enc.decode(ids) == text and len(scores) == 4
         assert len({tuple(enc.alternative(ids.tolist(), c)) for c in changes}) == 4
+
+
+def test_html_by_hand():
+    T = ("The cat was in the house and it is on the mat with the dog. " * 5).strip()
+    U = ("It was a long day for all of them and they had to go home by the river when the rain came. " * 4).strip()
+    C = ("I think that this is one of the best posts that you have made in a long time and we all like it. " * 4).strip()
+    cases = [
+        (f'<article style="overflow:hidden"><p>{T}</p></article>', T),
+        (f'<article><p title="a hidden gem">{T}</p><p>{U}</p></article>', T+"\n"+U),
+        (f'<div class="site no-sidebar"><article><p>{T}</p></article></div>', T),
+        (f'<div class="page-with-sidebar"><article><p>{T}</p></article><div class="sidebar"><p>{U}</p></div></div>', T),
+        (f'<form id="aspnetForm"><nav><a>Home</a></nav><div><h1>Big</h1><p>{T}</p><p>Short.</p><p>{U}</p></div></form>', "Big\n"+T+"\nShort.\n"+U),
+        (f'<form id="aspnetForm"><article><p>{T}</p></article></form>', T),
+        (f'<article><div class="post-header"><h1>Title</h1></div><p>{T}</p></article>', "Title\n"+T),
+        (f'<article><p>{T}</p><p><a href=x>Read the whole paper</a></p><p>{U}</p></article>', T+"\nRead the whole paper\n"+U),
+        (f'<article><h1>A</h1><p>{T}</p><section id="comments"><article class="comment"><p>{C}</p></article></section></article>', "A\n"+T),
+        (f'<main><h1>A</h1><p>{T}</p><p>ok.</p><p>{U}</p></main><aside><p>{C}</p></aside>', "A\n"+T+"\nok.\n"+U),
+        (f'<div class="sidebar"><p>{C}</p></div><div id=content><h1>A</h1><p>{T}</p><h2>B</h2><p>{U}</p></div><div class="comments"><p>{C}</p></div>', "A\n"+T+"\nB\n"+U),
+        (f'<article><p>{T} <button>Share</button> and more</p></article>', T+" and more"),
+        (f'<article><p>{T} <span class="share">Tweet</span> and more</p></article>', T+" and more"),
+        (f'<div class="cookie-notice"><p>{C}</p></div><article><p>{T}</p></article>', T),
+        (f'<div class="ad">{C}</div><nav><a href=x>Home</a></nav><article></article><footer>x</footer>', ""),
+        (f'<p>{T}</p> a < b and c <3 d <p>{U}', T+"\na < b and c <3 d\n"+U),
+        (f'<h1>Head</h1><article><p>{T}</p></article>', "Head\n"+T),
+        (f'<article><p>{T}</p></article><div class="related"><article><h3>Other</h3><p>{U}</p></article></div>', T),
+        (f'<article><p>1 &lt; 2 &amp; 3 &nbsp; x &#8217; {T}<p>{U}<ul><li>one<li>two</ul></article>', f"1 < 2 & 3 x ’ {T}\n{U}\none\ntwo"),
+        (f'<body class="has-sidebar"><div class="header"><h1>Site</h1></div><article class="post tag-social"><h1>T</h1><p>{T}</p><div class="share">Like</div></article></body>', "T\n"+T),
+        (f'<article><blockquote>{T}</blockquote><table><tr><td>a<td>b</table><form><input><p>{C}</p></form></article>', T+"\na\nb"),
+        (f'<div style="display:none"><p>{C}</p></div><div class="entry"><p>{T}</p></div>', T),
+        (f'<article><p>{T}</p><aside><p>{C}</p></aside><p>{U}</p></article>', T+"\n"+U),
+        (f'<script>if (a<b) "</p>"</script><style>x</style><article><p>{T}<!-- no --></p></article>', T),
+        (f'<article><p>{T}<p>x<img alt="a > b" src=y>z</article>', T+"\nxz"),
+    ]
+    for page, text in cases:
+        assert html_main.extract(page) == text, page[:120]
+
+
+@pytest.mark.parametrize("page", ["<" + "a" * 500_000, 'a <b and "c" ' * 40_000, "<a b='>' " * 50_000, '<a b="' * 75_001 + ">", "<div>" * 50_000 + "</span></p></x>" * 25_000, "<div class=sidebar>" * 25_000 + "<p>x</p>" * 25_000, "<article>" * 25_000 + "</main>x" * 25_000, "<textarea>" * 50_000, "<!--" * 100_000, "<a " + "x " * 250_000 + ">", "<button>" * 25_000 + "<p>x" * 25_000])
+def test_html_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_main.extract(page)
+    assert time.process_time() - began < 20
