@@ -1,20 +1,21 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
 A document is contaminated by an item when, on some diagonal, a window of WINDOW consecutive tokens
-of the item and the same number of the document agree in at least PERCENT of the positions. (An item
-with fewer tokens, but at least SHORTEST, is one window of its own length.) Such windows are found by
-fixed masks that ignore some token positions: the MASKS are lossless for WINDOW and PERCENT, i.e. however
-the tolerated substitutions fall into a full window, at least one mask lies on agreeing positions only.
-A window shorter than WINDOW counts if, besides, a mask hits it.
+of the item and the same number of the document agree in at least PERCENT of the positions. An item
+with fewer tokens, but at least SHORTEST, is one window of its own length; one with still fewer tokens must occur unaltered.
+Such windows are found by fixed masks that ignore some token positions. The masks of each class of item lengths are lossless: however
+the tolerated substitutions fall into a window, at least one mask lies on agreeing positions only. (A window of 11 or 12 tokens holds one
+of 10 with as many substitutions or fewer.)
 
 Plan: one scan of the documents; token hashes are made by array expressions, exploded, and their seeds looked up
 in the item seeds by a hash join inside the same stage; what lies around a hit is cut out there and compared, so no document
-text is shuffled. Only confirmed (document, item) pairs are aggregated. The item seeds are broadcast only while
-their counted number is within MAX_BROADCAST_SEEDS; beyond, the seeds of both sides are shuffled by hash, and the hits joined back to the documents.
+text is shuffled. Only masks of lengths that the benchmark has are used. Only confirmed (document, item) pairs are aggregated. The item seeds
+are broadcast only while their counted number is within MAX_BROADCAST_SEEDS; beyond, the seeds of both sides are shuffled by hash, and the
+hits joined back to the documents.
 
 Tokens: Unicode lower case, maximal runs of letters and digits. Defined results: null or empty text has
 no tokens, so it is never contaminated; rows that share a doc_id (null included) share the verdict, and each gives a
-row; items with null text or fewer than SHORTEST tokens match nothing; further columns are ignored here and kept by
+row; items with null text or without tokens match nothing; further columns are ignored here and kept by
 ``drop_contaminated``. An empty benchmark marks nothing.
 """
 
@@ -25,10 +26,17 @@ from pyspark.sql import functions as F
 
 from siteweave.llm.common import durable, free
 
-#: Fixed masks, as offsets of the positions that count; lossless for 2 substitutions in 13 tokens.
-MASKS = ((0, 3, 4, 6, 8, 9), (0, 1, 3, 6, 7, 8))
 WINDOW, PERCENT, SHORTEST = 13, 80, 10
+#: Fixed masks, as offsets of the positions that count; lossless for 2 substitutions in WINDOW and in SHORTEST tokens.
+MASKS = ((0, 3, 4, 6, 8, 9), (0, 1, 3, 6, 7, 8))
+SHORT_MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 1, 4, 5, 6))
 MAX_BROADCAST_SEEDS = 200_000
+Masks = tuple[tuple[int, ...], ...]
+
+
+def masks_of(n: int) -> Masks:
+    """The masks for items of n tokens: under SHORTEST the whole item."""
+    return MASKS if n >= WINDOW else SHORT_MASKS if n >= SHORTEST else (tuple(range(n)),) if n else ()
 
 
 def tokens(text: Column) -> Column:
@@ -39,32 +47,43 @@ def _hashed(df: DataFrame, text: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("h"))
 
 
-def _exploded(df: DataFrame, *keep: str) -> DataFrame:
+def _exploded(df: DataFrame, masks: Masks, *keep: str) -> DataFrame:
     """A row for each mask and each position of the token hashes h where it fits: at, seed.
 
     One range of slots holds the positions of the masks one after the other. Slots are exploded and seeds computed after that, so
     that both stay in generated code up to the join.
     """
-    fits = [F.greatest(F.size("h") - offsets[-1], F.lit(0)) for offsets in MASKS]
+    fits = [F.greatest(F.size("h") - offsets[-1], F.lit(0)) for offsets in masks]
     total = sum(fits[1:], fits[0])
     rows = df.withColumn("slot", F.explode(F.when(total > 0, F.sequence(F.lit(0), total - 1)).otherwise(F.array().cast("array<int>"))))
-    begins = [sum(fits[1:m], fits[0]) if m else F.lit(0) for m in range(len(MASKS))]
+    begins = [sum(fits[1:m], fits[0]) if m else F.lit(0) for m in range(len(masks))]
     at, seed = F.col("slot"), None
     for m, begin in enumerate(begins[1:], 1):
         at = F.when(F.col("slot") >= begin, F.col("slot") - begin).otherwise(at)
     rows = rows.withColumn("at", at)
-    for m, offsets in enumerate(MASKS):
-        own = F.xxhash64(F.lit(m), *(F.get(F.col("h"), F.col("at") + o) for o in offsets))
+    for m, offsets in enumerate(masks):
+        own = F.xxhash64(F.lit(",".join(map(str, offsets))), *(F.get(F.col("h"), F.col("at") + o) for o in offsets))
         seed = own if seed is None else F.when(F.col("slot") >= begins[m], own).otherwise(seed)
     return rows.select(*keep, "at", seed.alias("seed"))
 
 
-def item_seeds(benchmark: DataFrame) -> DataFrame:
-    """seed, item_id, q (token position), n (tokens of the item), around (token hashes up to a window either side)."""
-    items = _hashed(benchmark.filter(F.col("text").isNotNull()), "text", "item_id").filter(F.size("h") >= SHORTEST)
-    rows = _exploded(items, "item_id", "h")
+def item_seeds(benchmark: DataFrame) -> tuple[DataFrame, Masks]:
+    """seed, item_id, q (token position), n (tokens of the item), around (token hashes up to a window either side); and all masks in use.
+
+    The lengths of short items, at most WINDOW of them, come to the driver.
+    """
+    items = _hashed(benchmark.filter(F.col("text").isNotNull()), "text", "item_id").filter(F.size("h") > 0)
+    lengths = sorted(r[0] for r in items.select(F.least(F.size("h"), F.lit(WINDOW))).distinct().collect())
+    classes: dict[Masks, list[int]] = {}
+    for n in lengths:
+        classes.setdefault(masks_of(n), []).append(n)
     first = F.greatest(F.col("at") - (WINDOW - 1), F.lit(0))
-    return rows.select("seed", "item_id", F.col("at").alias("q"), F.size("h").alias("n"), first.alias("first"), F.slice("h", first + 1, F.lit(2 * WINDOW)).alias("around"))
+    rows = None
+    for masks, own in (classes or {MASKS: [WINDOW]}).items():
+        of = items.filter(F.least(F.size("h"), F.lit(WINDOW)).isin(own))
+        some = _exploded(of, masks, "item_id", "h").select("seed", "item_id", F.col("at").alias("q"), F.size("h").alias("n"), first.alias("first"), F.slice("h", first + 1, F.lit(2 * WINDOW)).alias("around"))
+        rows = some if rows is None else rows.union(some)
+    return rows, tuple(m for masks in classes or [MASKS] for m in masks)
 
 
 def _agrees() -> Column:
@@ -73,16 +92,18 @@ def _agrees() -> Column:
     same = F.transform("around", lambda x, i: F.when(F.get(F.col("near"), i - F.col("shift")) == x, 1).otherwise(0))
     lowest = F.greatest(F.col("q") - (w - 1), F.lit(0))
     starts = F.sequence(lowest, F.greatest(F.least(F.col("q"), F.col("n") - w), lowest))
-    return F.exists(starts, lambda s: F.aggregate(F.slice(same, s - F.col("first") + 1, w), F.lit(0), lambda a, b: a + b) * 100 >= w * PERCENT)
+    percent = F.when(F.col("n") < SHORTEST, 100).otherwise(PERCENT)
+    return F.exists(starts, lambda s: F.aggregate(F.slice(same, s - F.col("first") + 1, w), F.lit(0), lambda a, b: a + b) * 100 >= w * percent)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     """Distinct (doc_key, item_id) of confirmed overlaps."""
-    items, hashed = item_seeds(benchmark), _hashed(docs, "text", doc_key)
+    items, masks = item_seeds(benchmark)
+    hashed = _hashed(docs, "text", doc_key)
     if items.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS:
-        hits = _exploded(hashed, doc_key, "h").join(F.broadcast(items), "seed")
+        hits = _exploded(hashed, masks, doc_key, "h").join(F.broadcast(items), "seed")
     else:  # seeds without texts are shuffled, and the documents once more for the hits
-        found = _exploded(hashed, doc_key).join(items.hint("shuffle_hash"), "seed").withColumnRenamed(doc_key, "hit_key")
+        found = _exploded(hashed, masks, doc_key).join(items.hint("shuffle_hash"), "seed").withColumnRenamed(doc_key, "hit_key")
         hits = found.join(hashed, hashed[doc_key].eqNullSafe(found["hit_key"]))
     # of the document only what lies around a hit leaves the join, and the comparison stays out of its condition: a condition
     # that is not generated code would copy the whole document for every position
@@ -106,21 +127,25 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def oracle(docs: str = "documents", benchmark: str = "benchmark") -> str:
-    """DuckDB SQL of decontaminate(); seeds are joined as strings, not hashes."""
+    """DuckDB SQL of decontaminate() without masks.
+
+    A window with two substitutions has somewhere a third of its other tokens in a row: 4 of 13, 3 of 10. Such runs of the items, and whole
+    items under SHORTEST tokens, are looked for, and all windows around them compared.
+    """
     toks = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
-    seeds = " || ".join(
-        f"list_transform(range(1, greatest(len(h) - {o[-1]}, 0) + 1), lambda i: {{'at': i - 1, 'seed': '{m}' || " + " || ' ' || ".join(f"h[i + {k}]" for k in o) + "})" for m, o in enumerate(MASKS)
-    )
+    size = f"case when len(h) >= {WINDOW} then {-(-(WINDOW - 2) // 3)} when len(h) >= {SHORTEST} then {-(-(SHORTEST - 2) // 3)} else len(h) end"
+    runs = "list_transform(range(1, greatest(len(h) - k + 1, 0) + 1), lambda i: {'at': i - 1, 'seed': array_to_string(h[i:i + k - 1], ' ')})"
     return f"""
 with d as (select doc_id, {toks} as h from {docs}),
-b as (select item_id, {toks} as h from {benchmark} where text is not null),
-ds as (select doc_id, h, unnest({seeds}) as s from d),
-bs as (select item_id, h, least({WINDOW}, len(h)) as w, unnest({seeds}) as s from b where len(h) >= {SHORTEST}),
-hits as (select distinct ds.doc_id, bs.item_id, ds.s['at'] as p, bs.s['at'] as q, w, ds.h as dh, bs.h as bh
-  from ds join bs on ds.s['seed'] = bs.s['seed']),
+b as (select item_id, h, {size} as k, least({WINDOW}, len(h)) as w, case when len(h) < {SHORTEST} then 100 else {PERCENT} end as percent
+  from (select item_id, {toks} as h from {benchmark} where text is not null) where len(h) > 0),
+ds as (select doc_id, h, k, unnest({runs}) as s from d, (select distinct k from b)),
+bs as (select *, unnest({runs}) as s from b),
+hits as (select distinct ds.doc_id, bs.item_id, ds.s['at'] as p, bs.s['at'] as q, w, percent, ds.h as dh, bs.h as bh
+  from ds join bs on ds.k = bs.k and ds.s['seed'] = bs.s['seed']),
 good as (select distinct doc_id, item_id from (
     select *, unnest(range(greatest(q - w + 1, 0), least(q, len(bh) - w) + 1)) as st from hits)
-  where 100 * list_sum(list_transform(range(0, w), lambda k: case when st + k + p - q >= 0 and bh[st + k + 1] = dh[st + k + p - q + 1] then 1 else 0 end)) >= {PERCENT} * w)
+  where 100 * list_sum(list_transform(range(0, w), lambda k: case when st + k + p - q >= 0 and bh[st + k + 1] = dh[st + k + p - q + 1] then 1 else 0 end)) >= percent * w)
 select d.doc_id, count(g.item_id) > 0 as contaminated, count(g.item_id) as n_items,
   list_sort(coalesce(list(g.item_id) filter (g.item_id is not null), []::bigint[])) as item_ids
 from (select doc_id, row_number() over () as rn from {docs}) d left join good g on d.doc_id is not distinct from g.doc_id group by d.rn, d.doc_id"""

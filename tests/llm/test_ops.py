@@ -298,9 +298,38 @@ def test_viterbi_against_all_paths():
 def test_masks_are_lossless():
     from itertools import combinations
 
-    w, errors = decontaminate.WINDOW, decontaminate.WINDOW * (100 - decontaminate.PERCENT) // 100
-    for bad in combinations(range(w), errors):
-        assert any(not {s + o for o in m} & set(bad) for m in decontaminate.MASKS for s in range(w - m[-1]))
+    for w in range(1, decontaminate.WINDOW + 1):
+        errors = w * (100 - decontaminate.PERCENT) // 100 if w >= decontaminate.SHORTEST else 0
+        for bad in combinations(range(w), errors):
+            assert any(not {s + o for o in m} & set(bad) for m in decontaminate.masks_of(w) for s in range(w - m[-1])), (w, bad)
+
+
+def test_leaks_against_all_windows(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [" ".join(f"t{rng.randrange(40)}" for _ in range(n)) for n in [*range(0, 17), 25, 1, 4, 10, 11, 12]]
+    docs = []
+    for _ in range(150):
+        words = [f"t{rng.randrange(40)}" for _ in range(rng.randint(0, 12))]
+        w = rng.choice(items).split()
+        for _ in range(rng.randint(0, 3)):
+            if w:
+                w[rng.randrange(len(w))] = f"z{rng.randrange(9)}"
+        docs.append(" ".join([*words, *w, *words[:3]]))
+
+    def found(doc, item):
+        d, t = doc.split(), item.split()
+        w = min(13, len(t))
+        need = 100 if len(t) < 10 else 80
+        return w > 0 and any(100 * sum(x == y for x, y in zip(d[p : p + w], t[q : q + w], strict=False)) >= need * w for q in range(len(t) - w + 1) for p in range(-w + 1, len(d)) if p >= 0) or w >= 10 and any(
+            100 * sum(0 <= p + k < len(d) and d[p + k] == t[q + k] for k in range(w)) >= need * w for q in range(len(t) - w + 1) for p in range(-w + 1, len(d))
+        )
+
+    want = {i: [j for j, t in enumerate(items) if found(d, t)] for i, d in enumerate(docs)}
+    assert 20 < sum(map(len, want.values()))
+    tables_ = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for most in (decontaminate.MAX_BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(decontaminate, "MAX_BROADCAST_SEEDS", most)
+        assert {r["doc_id"]: r["item_ids"] for r in decontaminate.decontaminate(*tables_).collect()} == want
 
 
 @pytest.mark.parametrize("most", [decontaminate.MAX_BROADCAST_SEEDS, 0])
