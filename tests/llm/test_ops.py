@@ -285,14 +285,72 @@ def test_quality_counts():
         assert quality_rules.count_text(t) == plain(t)
 
 
+def random_crf(rng):
+    return quality_rules.Crf(np.array([rng.uniform(-2, 2) for _ in range(quality_rules.N_FEATURES + 3)]))
+
+
+def path_score(crf, path, feats):
+    """Of a path of true (content) and false (boilerplate)."""
+    score = 0.0 if path[0] else crf.start
+    for good, own in zip(path, feats, strict=True):
+        score += 0 if good else sum(crf.emission[x] for x in own)
+    for a, b in zip(path, path[1:], strict=False):
+        score += crf.to_boiler if a and not b else crf.to_content if b and not a else 0
+    return score
+
+
 def test_viterbi_against_all_paths():
     rng = random.Random(6)
     for _ in range(50):
-        crf = quality_rules.Crf([rng.uniform(-2, 2) for _ in range(quality_rules.N_FEATURES)], rng.uniform(0, 2))
+        crf = random_crf(rng)
         feats = [[rng.randrange(quality_rules.N_FEATURES) for _ in range(3)] for _ in range(rng.randint(1, 8))]
-        score = lambda p, f=feats, c=crf: sum(0 if good else sum(c.emission[x] for x in own) for good, own in zip(p, f, strict=True)) - c.change * sum(a != b for a, b in zip(p, p[1:], strict=False))
-        best = max(score([bool(m >> k & 1) for k in range(len(feats))]) for m in range(2 ** len(feats)))
-        assert abs(score(crf.viterbi(feats)) - best) < 1e-9
+        best = max(path_score(crf, [bool(m >> k & 1) for k in range(len(feats))], feats) for m in range(2 ** len(feats)))
+        assert abs(path_score(crf, crf.viterbi(feats), feats) - best) < 1e-9
+
+
+def test_crf_likelihood_and_gradient():
+    from itertools import product
+
+    rng = random.Random(7)
+    for _ in range(6):
+        crf = random_crf(rng)
+        chains = []
+        for _ in range(4):
+            n = rng.randint(1, 6)
+            chains.append((np.array([[rng.randrange(quality_rules.N_FEATURES) for _ in range(3)] for _ in range(n)]), np.array([rng.choice([0, 1, -1]) for _ in range(n)])))
+        data = crf.packed(chains)
+        value, grad = crf.slope(*data, decay=0.01)
+        plain = -0.005 * float(crf.theta @ crf.theta)
+        for f, y in chains:
+            scores = {p: path_score(crf, p, f.tolist()) for p in product((True, False), repeat=len(y))}
+            known = [s for p, s in scores.items() if all(k < 0 or good == (k == 0) for good, k in zip(p, y, strict=True))]
+            plain += (np.log(np.exp(known).sum()) - np.log(np.exp(list(scores.values())).sum())) / np.sqrt(len(y))
+        assert np.isclose(value, plain)
+        for k in range(len(crf.theta)):
+            step = np.zeros(len(crf.theta))
+            step[k] = 1e-5
+            up, down = (quality_rules.Crf(crf.theta + d).slope(*data, decay=0.01)[0] for d in (step, -step))
+            assert np.isclose(grad[k], (up - down) / 2e-5, atol=1e-5), k
+
+
+def test_common_lines(spark):
+    rng = random.Random(13)
+    own = lambda: f"own {rng.random()}"
+    texts = ["\n".join([*(own() for _ in range(rng.randint(1, 3))), "seen in many texts", *(own() for _ in range(2))]) for _ in range(60)]
+    texts += ["a copied text\nof two lines"] * 200 + [None, "", "\n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert quality_rules.common_lines(docs) == {quality_rules.line_hash(b"seen in many texts")}
+
+
+def test_quality_of_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    half = labels.filter("doc_id % 2 = 0")
+    rows = quality_rules.judge(docs, half).join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("not base_failed").collect()
+    bad, good = [r for r in rows if r["quality"] == 0], [r for r in rows if r["quality"] == 1]
+    assert sum(not r["kept"] for r in bad) >= 0.9 * len(bad) and sum(r["kept"] for r in good) >= 0.97 * len(good)
+    crf, common = quality_rules.fit(docs, half)
+    decoded = [set(crf.viterbi(quality_rules.line_features(r["text"], common)[0])) for r in docs.collect() if "\n" in r["text"]]
+    assert sum(len(x) == 2 for x in decoded) >= 0.1 * len(decoded)
 
 
 def test_masks_are_lossless():
