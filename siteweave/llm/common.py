@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -39,12 +38,6 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of finished steps: once their plans are unreferenced, a garbage collection makes Spark's cleaner delete their shuffle files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def free(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (in any case)."""
     taken = {c.lower() for c in df.columns}
@@ -53,15 +46,27 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bytes of text that one shuffle partition stands for.
+PARTITION_BYTES = 32 << 20
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, counted."""
+    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
+def partitions(spark: SparkSession, size: int) -> int:
+    """Number of shuffle partitions for so many bytes of text: they grow in number, not in size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+
+
 #: Input bytes that one group of documents stands for, and the least number of groups.
 GROUP_BYTES, LEAST_GROUPS = 16 << 20, 16
 
 
 def groups(docs: DataFrame) -> int:
-    """Number of groups to deal documents to: by the plan's estimate of the input size, or the shuffle partitions where it has none."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known = size < 1 << 60
-    return max(LEAST_GROUPS, -(-size // GROUP_BYTES) if known else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Number of groups to deal documents to, by the counted bytes of their texts."""
+    return max(LEAST_GROUPS, -(-text_bytes(docs) // GROUP_BYTES))
 
 
 #: Size of the filters below; full ones let more pass, they never lose a key.

@@ -1,375 +1,342 @@
-"""Exact substring dedup: bytes covered by a LENGTH-byte string that also starts earlier, found by anchor-and-fingerprint grouping.
+"""Exact substring dedup: bytes covered by a LENGTH-byte string that also starts earlier, by prefix doubling over sampled starts.
 
-This is not prefix doubling (pairs of ranks at growing offsets) but another method, chosen for the disk budget. A start's rank is the class
-of equal strings of a given length that begin there, identified by fingerprint. Spark brings equal ranks together, starts of unique rank
-leave, and the others are grouped again by longer strings. Three rounds suffice, as a fingerprint of any length is two lookups:
+The rank of a start at length h names the class of equal h-byte strings that begin there. Spark sorts (rank, position) rows, starts of unique
+rank leave, and the others are ranked again by the pair of their ranks at a growing offset (h + offset bytes), until they are unique or h has
+reached LENGTH. Names are fingerprints, so a pair is named without another sort, and three things keep the rows few:
 
-1. ANCHOR bytes, at sampled starts only: of every LENGTH-byte string the ANCHOR-gram of least fingerprint (the leftmost of equals), so
-   that equal strings have equal anchors at equal offsets. The strings with one anchor occurrence are its run, of consecutive starts.
-2. The pair (anchor, whole run): runs of one class are equal in all their strings. All but the first of a class are settled: every
-   string of theirs starts earlier in the first. An anchor with a single class is settled, too.
-3. The pair (anchor, LENGTH bytes), for all starts of the runs that are left (firsts of classes that share an anchor): a start that
-   isn't the first of its class starts earlier elsewhere.
+* Sampled starts: of every LENGTH-byte string that is left, only its h-gram of least name (the leftmost of equals) is sorted: equal strings have
+  it at equal offsets. Strings with one such gram are consecutive starts, a run, which is one row.
+* A row also has the name of its whole run. Runs of equal rank and name are equal in all their strings: all but the first are settled at once
+  (each string starts earlier in the first). First runs leave if their rank has no other run, else they go on to the next length.
+* At h = LENGTH each start is its own run, so nothing is left open.
 
-By estimate (not measured), doubling from length 1 would shuffle 16 bytes a text byte and round; this is about 14 / 25 bytes in the first round and 8
-bytes for each of the few per cent of starts of the third.
+Plan of a round: tasks send a plain row per run, the copies that they see themselves settled before; rows are dealt by rank, sorted, and
+scanned in a stream that holds one row. Partitions follow the counted bytes of text, and the rows of a byte don't depend on their number. Ranks that
+a sample of SAMPLE_BYTES shows to be frequent are dealt by their runs' names over several partitions (their first runs simply stay open). The
+answers are gathered by document and joined to the compressed texts; documents with open runs are written to the shared folder for the next
+round. Nothing is broadcast but the frequent ranks of the sample. Long texts are worked through in pieces, so a task holds arrays of a piece only.
 
-Plan: ranks travel packed to buckets by hash; a task sends one row per class it has, and settles its other members itself, so a string of
-a third of all documents costs one row a task. Buckets answer groups of documents (by hash of the row), which hold the compressed
-texts. Documents with starts left for round 3 are written to the shared folder. Nothing is broadcast or collected.
-
-Classes are identified by 96 bits of fingerprint (modulo 2**64 with random byte values, mixed).
+Classes are identified by rank and name (104 bits; modulo 2**64 with random byte values, mixed), at the last length by 64 + 40 bits of the string itself.
+They are not compared byte by byte.
 
 Defined results: null text counts as empty; texts under LENGTH bytes lose nothing; rows of equal doc_id and text are one document (each
-gives a row); rows of equal doc_id but other text are ordered by a hash of the text; a null doc_id comes after all others.
+gives a row); rows of equal doc_id but other text are ordered by a hash of the text (20 bits); rows with a null doc_id come after all others (above
+2**63 - 2**56), in the order of a hash of the text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.llm.bytehash import BASE, BYTE, INVERSE, U, mix, powers
-from siteweave.llm.common import durable, groups, release
-
-LENGTH, ANCHOR = 100, 48
-_LAST = np.iinfo(np.int64).max
-_STEP = U(0x9E3779B97F4A7C15)
+from siteweave.llm.common import durable, partitions, text_bytes
+
+LENGTH = 100
+#: Lengths of the rounds, as shares of LENGTH; each is at most twice the one before.
+ROUNDS = (0.5, 0.75, 1.0)
+#: Bytes in a piece of text (with the index of a byte in INDEX bits), runs in a task's memory, bytes of the sample, occurrences in the sample that make a rank frequent.
+PIECE_BYTES, INDEX, FLUSH_RUNS, SAMPLE_BYTES, FREQUENT = 1 << 18, 20, 150_000, 1 << 24, 8
+#: Ranks have RANK bits; above them a frequent rank, dealt by name, and a row that is settled already, dealt by document.
+RANK = 40
+SPLIT, SETTLED = 1 << RANK, 1 << (RANK + 1)
+#: A place is 20 bits of the text's hash, 31 bits of the run's first start and 12 bits of its last start less the first.
+SPAN, START = 12, 31
+#: Adjacent settled runs of a task are joined up to about so many starts.
+JOINED = 3000
+NULL_IDS = (1 << 63) - (1 << 56)
+#: Greatest length, so that a run's starts fit in a place.
+LONGEST = 1000
 
 
 class Runs:
-    """Runs of a list of texts: text number, anchor, first and last start (within the text), rank of the anchor (32 bits) and of the run."""
+    """Runs of the starts of a text that lie in the given ranges: anchor, first and last start, rank of the anchor and name of the run."""
 
-    def __init__(self, texts: list[bytes], length: int, anchor: int):
+    def __init__(self, texts: list[bytes], offsets: list[int], open_: list[np.ndarray], h: int, length: int):
+        """texts are pieces that begin at the offsets; open_ has the pieces' ranges of starts (first, last), counted from the pieces' begins."""
         raw = np.frombuffer(b"".join(texts), np.uint8)
         n, sizes = len(raw), np.fromiter(map(len, texts), np.int64, len(texts))
-        self.at, self.length = np.cumsum(sizes) - sizes, length
-        own = [np.arange(a, a + s - length + 1) for a, s in zip(self.at.tolist(), sizes.tolist(), strict=True) if s >= length]
-        if not own:
-            self.text = self.anchor = self.first = self.last = np.empty(0, np.int64)
-            self.rank, self.run = np.empty(0, np.uint32), np.empty(0, U)
+        at = np.cumsum(sizes) - sizes
+        own = [np.arange(a + f, a + z + 1) for a, ranges in zip(at.tolist(), open_, strict=True) for f, z in ranges.tolist()]
+        starts = np.concatenate([np.empty(0, np.int64), *own])
+        self.text = self.first = self.last = np.empty(0, np.int64)
+        self.rank = self.name = np.empty(0, U)
+        if not len(starts):
             return
-        starts = np.concatenate(own)
-        self.total = np.zeros(n + 1, U)
-        np.cumsum(BYTE[raw] * powers(BASE, n), out=self.total[1:])
-        self.back = powers(INVERSE, n + 1)
-        h = mix((self.total[anchor:] - self.total[:-anchor]) * self.back[: n - anchor + 1])
-        bits = U(max(20, int(n).bit_length()))
-        least = (h >> bits << bits) | np.arange(len(h), dtype=U)
-        width, step = length - anchor + 1, 1
+        total = np.zeros(n + 1, U)
+        np.cumsum(BYTE[raw] * powers(BASE, n), out=total[1:])
+        back = powers(INVERSE, n + 1)
+        half = -(-h // 2)
+        # the rank of h bytes is the pair of the ranks of half of them, here and further on
+        short = mix((total[half:] - total[:-half]) * back[: n - half + 1])
+        rank = mix(short[: n - h + 1] * U(0x9E3779B97F4A7C15) + short[h - half :])
+        width, step = length - h + 1, 1
+        least = (rank >> U(INDEX) << U(INDEX)) | np.arange(len(rank), dtype=U)
         while 2 * step <= width:
             least = np.minimum(least[:-step], least[step:])
             step *= 2
         if step < width:
             least = np.minimum(least[: len(least) - (width - step)], least[width - step :])
-        chosen = (least[starts] & ((U(1) << bits) - U(1))).astype(np.int64)
+        chosen = (least[starts] & U((1 << INDEX) - 1)).astype(np.int64)
         new = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (starts[1:] != starts[:-1] + 1)))
-        first, last = starts[new], starts[np.append(new[1:] - 1, len(starts) - 1)]
-        spot = chosen[new]
-        self.text = np.searchsorted(self.at, first, side="right") - 1
-        # empty texts share their start with the next one, which is the one that has bytes
-        whole = mix((self.total[last + length] - self.total[first]) * self.back[first])
-        self.run = mix(whole + (last - spot).astype(U) * _STEP + (spot - first).astype(U) * U(0xA24BAED4963EE407))
-        self.rank = (mix(h[spot]) >> U(32)).astype(np.uint32)  # least fingerprints crowd near 0: mixed again, they spread over the buckets
-        shift = self.at[self.text]
-        self.anchor, self.first, self.last = spot - shift, first - shift, last - shift
-
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the runs given: run, start and rank of every string."""
-        n = self.last[which] - self.first[which] + 1
-        of = np.repeat(which, n)
-        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.first[of]
-        a = start + self.at[self.text[of]]
-        return of, start, mix((self.total[a + self.length] - self.total[a]) * self.back[a])
-
-
-class Places:
-    """Starts in documents, packed by document: ids, text hashes, number of starts, and starts as differences."""
-
-    COLUMNS = ("ids", "hashes", "ns", "starts")
-
-    @staticmethod
-    def pack(ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> tuple[bytes, ...]:
-        """The arrays must be sorted by (id, hash)."""
-        new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]))) if len(ids) else np.empty(0, np.int64)
-        return ids[new].tobytes(), hashes[new].tobytes(), np.diff(new, append=len(ids)).astype(np.int32).tobytes(), np.diff(starts, prepend=0).astype(np.int64).tobytes()
-
-
-def _not_first(keys: list[np.ndarray], place: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by class (keys, the last one foremost) and place (likewise); in that order, whether a row begins a class, and whether it is another place than its class's first."""
-    order = np.lexsort((*place, *keys))
-    begins = np.zeros(len(order), bool)
-    begins[:1] = True
-    for k in keys:
-        k = k[order]
-        begins[1:] |= k[1:] != k[:-1]
+        first, last, spot = starts[new], starts[np.append(new[1:] - 1, len(starts) - 1)], chosen[new]
+        whole = mix((total[last + length] - total[first]) * back[first])
+        self.name = mix(whole + (last - spot).astype(U) * U(0xA24BAED4963EE407) + (spot - first).astype(U) * U(0x9E3779B97F4A7C15))
+        self.rank = mix(rank[spot]) >> U(64 - RANK)  # least names crowd near 0: mixed again, they spread
+        self.text = np.searchsorted(at, first, side="right") - 1  # an empty text shares its begin with the next one, which is the one that has bytes
+        shift = (at - np.array(offsets, np.int64))[self.text]
+        self.first, self.last = first - shift, last - shift
+
+
+def _pieces(rows: Iterator[tuple[int, int, bytes, np.ndarray | None]], length: int) -> Iterator[tuple[list[int], list[int], list[bytes], list[int], list[np.ndarray]]]:
+    """Of (id, hash, text, open ranges or None for all): lists of ids, hashes, pieces of text, their offsets and ranges, of about PIECE_BYTES together."""
+    held: tuple[list, ...] = ([], [], [], [], [])
+    size = 0
+    for i, h, raw, ranges in rows:
+        if ranges is None:
+            ranges = np.array([[0, len(raw) - length]])
+        for lo in range(0, len(raw) - length + 1, PIECE_BYTES):
+            own = ranges[(ranges[:, 1] >= lo) & (ranges[:, 0] < lo + PIECE_BYTES)].clip(lo, lo + PIECE_BYTES - 1) - lo
+            own[:, 1] = np.minimum(own[:, 1], len(raw) - length - lo)
+            if len(own):
+                piece = raw[lo : lo + PIECE_BYTES + length - 1]
+                for column, x in zip(held, (i, h, piece, lo, own), strict=True):
+                    column.append(x)
+                size += len(piece)
+                if size >= PIECE_BYTES:
+                    yield held
+                    held, size = ([], [], [], [], []), 0
+    if size:
+        yield held
+
+
+_ROW = "rank long, name long, id long, place long"
+_ROW_ARROW = pa.schema([(c, pa.int64()) for c in ("rank", "name", "id", "place")])
+_ANSWER_ARROW = pa.schema([("id", pa.int64()), ("place", pa.int64()), ("open", pa.bool_())])
+
+
+def _batch(columns: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+
+def _joined(ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Settled runs with adjacent ones of a document put together."""
+    if not len(ids):
+        return ids, places
+    order = np.lexsort((places, ids))
+    ids, places = ids[order], places[order]
+    first, text = (places >> SPAN) & ((1 << START) - 1), places >> (SPAN + START)
+    last = first + (places & ((1 << SPAN) - 1))
+    begins = np.append(True, (ids[1:] != ids[:-1]) | (text[1:] != text[:-1]) | (first[1:] > last[:-1] + 1))
+    whole = first[np.flatnonzero(begins)][np.cumsum(begins) - 1]
+    begins |= np.append(False, (first - whole)[1:] // JOINED != (first - whole)[:-1] // JOINED)
+    at = np.flatnonzero(begins)
+    end = np.maximum.reduceat(last, at)
+    return ids[at], places[at] >> SPAN << SPAN | (end - first[at])
+
+
+def _sent(rank: np.ndarray, name: np.ndarray, ids: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """Rows of a task's runs: the first of each class, and the others, settled, dealt by document."""
+    if not len(rank):
+        return _batch([rank] * 4, _ROW_ARROW)
+    order = np.lexsort((places, ids, name, rank))
+    rank, name, ids, places = rank[order], name[order], ids[order], places[order]
+    begins = np.append(True, (rank[1:] != rank[:-1]) | (name[1:] != name[:-1]))
     head = np.flatnonzero(begins)[np.cumsum(begins) - 1]
-    other = np.zeros(len(order), bool)
-    for x in place:
-        x = x[order]
-        other |= x != x[head]
-    return order, begins, other
-
-
-def _slices(*columns: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of equal rows of sorted columns."""
-    n = len(columns[0])
-    if not n:
-        return []
-    change = np.zeros(n, bool)
-    change[0] = True
-    for c in columns:
-        change[1:] |= c[1:] != c[:-1]
-    cut = np.flatnonzero(change).tolist()
-    return list(zip(cut, [*cut[1:], n], strict=True))
-
-
-_SCHEMA = "bucket int, grp int, ids binary, hashes binary, ns binary, starts binary, ranks binary, keys binary"
-
-
-_ARROW = pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.binary()) for f in _SCHEMA.split(", ")])
-
-
-def _sent(n: int, grp: np.ndarray, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, rank: np.ndarray, key: np.ndarray) -> pd.DataFrame:
-    """Rows for the buckets: the first of each class (rank, key) here, and, without ranks, the settled others."""
-    order, _, other = _not_first([key, rank], [starts, hashes, ids])
-    grp, ids, hashes, starts, rank, key = (x[order] for x in (grp, ids, hashes, starts, rank, key))
-    # copies of one document may tie for the first: a single one is sent
-    again = ~other & np.append(False, (rank[1:] == rank[:-1]) & (key[1:] == key[:-1]))
-    bucket = np.where(other, grp % n, (rank.astype(U) * U(n)) >> U(32)).astype(np.int64)
-    keep = ~again
-    other, grp, ids, hashes, starts, rank, key, bucket = (x[keep] for x in (other, grp, ids, hashes, starts, rank, key, bucket))
-    order = np.lexsort((starts, hashes, ids, other, grp, bucket))
-    other, grp, ids, hashes, starts, rank, key, bucket = (x[order] for x in (other, grp, ids, hashes, starts, rank, key, bucket))
-    rows = []
-    for a, z in _slices(bucket, grp, other):
-        packed = Places.pack(ids[a:z], hashes[a:z], starts[a:z])
-        rows.append((int(bucket[a]), int(grp[a]), *packed, *((b"", b"") if other[a] else (rank[a:z].tobytes(), key[a:z].tobytes()))))
-    return pd.DataFrame(rows, columns=["bucket", "grp", *Places.COLUMNS, "ranks", "keys"])
-
-
-def _settle(with_open: bool):
-    """Bucket function: answers per group, of starts that begin earlier elsewhere (open false) and, if asked for, of firsts whose rank has several classes (open true)."""
-
-    def settled(b: pd.DataFrame) -> pd.DataFrame:
-        rows = b.to_dict("records")
-        out = [(r["grp"], False, *(r[c] for c in Places.COLUMNS)) for r in rows if not r["ranks"]]
-        rows = [r for r in rows if r["ranks"]]
-        if rows:
-            # documents are numbered in the order of (id, hash), so that a place is two small numbers
-            ids, hashes = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("ids", "hashes"))
-            grp = np.repeat([r["grp"] for r in rows], [len(r["ids"]) // 8 for r in rows])
-            order = np.lexsort((hashes, ids))
-            ids, hashes, grp = ids[order], hashes[order], grp[order]
-            new = np.append(True, (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]))
-            number = np.empty(len(order), np.int32)
-            number[order] = np.cumsum(new) - 1
-            ids, hashes, grp = ids[new], hashes[new], grp[new]
-            doc = np.repeat(number, np.concatenate([np.frombuffer(r["ns"], np.int32) for r in rows]))
-            starts = np.concatenate([np.cumsum(np.frombuffer(r["starts"], np.int64)) for r in rows])
-            starts = starts.astype(np.int32) if starts.max() < 1 << 31 else starts
-            rank = np.concatenate([np.frombuffer(r["ranks"], np.uint32) for r in rows])
-            key = np.concatenate([np.frombuffer(r["keys"], U) for r in rows])
-            rows.clear()
-            # ranges of ranks, one at a time, bound what is sorted
-            low, high = int(rank.min()), int(rank.max()) + 1
-            parts = -(-len(rank) // 100_000)
-            for k in range(parts):
-                own = np.flatnonzero((rank >= low + (high - low) * k // parts) & (rank < low + (high - low) * (k + 1) // parts))
-                if len(own):
-                    out += answered(ids, hashes, grp, doc[own], starts[own], rank[own], key[own])
-        return pd.DataFrame(out, columns=["grp", "open", *Places.COLUMNS])
-
-    def answered(ids: np.ndarray, hashes: np.ndarray, grp: np.ndarray, doc: np.ndarray, starts: np.ndarray, rank: np.ndarray, key: np.ndarray) -> list[tuple]:
-        order, begins, other = _not_first([key, rank], [starts, doc])
-        doc, starts, rank = doc[order], starts[order], rank[order]
-        several = np.zeros(len(rank), bool)
-        if with_open:
-            of = np.cumsum(np.append(True, rank[1:] != rank[:-1])) - 1
-            several = np.bincount(of, weights=begins)[of] > 1
-        out = []
-        for is_open, hit in ((False, other), (True, ~other & several)):
-            d, s = doc[hit], starts[hit]
-            order = np.lexsort((s, d, grp[d]))
-            d, s = d[order], s[order]
-            out += [(int(grp[d[a]]), is_open, *Places.pack(ids[d[a:z]], hashes[d[a:z]], s[a:z])) for a, z in _slices(grp[d])]
-        return out
-
-    return settled
-
-
-_ANSWER = "grp int, open boolean, ids binary, hashes binary, ns binary, starts binary"
-
-
-def _by_document(answers: pd.DataFrame) -> dict[tuple[int, int, bool], list[np.ndarray]]:
-    found: dict[tuple[int, int, bool], list[np.ndarray]] = {}
-    for r in answers.to_dict("records"):
-        n, starts = np.frombuffer(r["ns"], np.int32), np.cumsum(np.frombuffer(r["starts"], np.int64))
-        ends = np.cumsum(n)
-        for i, h, a, z in zip(np.frombuffer(r["ids"], np.int64).tolist(), np.frombuffer(r["hashes"], np.int64).tolist(), (ends - n).tolist(), ends.tolist(), strict=True):
-            found.setdefault((i, h, bool(r["open"])), []).append(starts[a:z])
-    return found
-
-
-def _key(doc_id: object) -> int:
-    return _LAST if doc_id is None or doc_id is pd.NA or doc_id != doc_id else int(doc_id)
-
-
-def _hash(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
-
-
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
-
-
-def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[dict[str, list]]:
+    other = (ids != ids[head]) | (places != places[head])  # a repeated row is the same place
+    some, spots = _joined(ids[other], places[other])
+    dealt = SETTLED | (mix(some.astype(U)) >> U(64 - RANK)).astype(np.int64)
+    return _batch([np.concatenate([rank[begins], dealt]), np.concatenate([name[begins], np.zeros(len(some), np.int64)]), np.concatenate([ids[begins], some]), np.concatenate([places[begins], spots])], _ROW_ARROW)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers of rows sorted by rank, name and place: settled runs, and open ones (firsts of a rank that has several)."""
+    held: tuple[int, int, int, int] | None = None  # first row of the class that the rows before ended in
+    lone: tuple[int, int] | None = None  # first row of the rank that they ended in, as long as it has a single class
+    for b in batches:
+        rank, name, ids, places = (c.to_numpy() for c in b.columns)
+        k = int(np.searchsorted(rank, SETTLED))
+        out = [(ids[k:], places[k:], np.zeros(len(rank) - k, bool))]
+        if k:
+            rank, name, ids, places = (x[:k] for x in (rank, name, ids, places))
+            carried = held is not None
+            if held is not None:
+                rank, name, ids, places = (np.append(np.int64(y), x) for x, y in zip((rank, name, ids, places), held, strict=True))
+            new_rank = np.append(True, rank[1:] != rank[:-1])
+            new_class = new_rank | np.append(True, name[1:] != name[:-1])
+            head = np.flatnonzero(new_class)[np.cumsum(new_class) - 1]
+            other = (ids != ids[head]) | (places != places[head])
+            group = np.cumsum(new_rank) - 1
+            classes = np.bincount(group, weights=new_class)
+            if carried and lone is None:
+                classes[0] += 1  # the rank had several classes before
+            several = (classes[group] > 1) | (rank >= SPLIT)
+            first = new_class & several
+            first[:carried] = False
+            if carried and lone is not None and several[0]:
+                out.append((np.array([lone[0]]), np.array([lone[1]]), np.array([True])))
+            out += [(ids[other], places[other], np.zeros(int(other.sum()), bool)), (ids[first], places[first], np.ones(int(first.sum()), bool))]
+            begin = int(np.flatnonzero(new_rank)[-1])
+            if several[-1]:
+                lone = None
+            elif begin or not carried:
+                lone = int(ids[begin]), int(places[begin])
+            held = tuple(int(x[head[-1]]) for x in (rank, name, ids, places))
+        yield _batch([np.concatenate(x) for x in zip(*out, strict=True)], _ANSWER_ARROW)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[dict[str, list]]:
     """A few rows of Arrow batches at a time as lists."""
     for b in batches:
         for lo in range(0, b.num_rows, rows):
             yield b.slice(lo, rows).to_pydict()
 
 
-def _batch(rows: pd.DataFrame) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pandas(rows, _ARROW, preserve_index=False)
+def _open_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, np.ndarray | None]]:
+    unzip = zstandard.ZstdDecompressor()
+    for b in _sliced(batches):
+        if "text" in b:
+            for i, h, t in zip(b["id"], b["hash"], b["text"], strict=True):
+                yield i, h, (t or "").encode("utf-8", "surrogatepass"), None
+        else:
+            for i, h, p, o in zip(b["id"], b["hash"], b["packed"], b["open"], strict=True):
+                yield i, h, unzip.decompress(p), np.frombuffer(o, np.int64).reshape(-1, 2)
 
 
-def _pieces(rows: Iterable[tuple], size: int = 1 << 18) -> Iterator[list[tuple]]:
-    """Lists of rows (the last field is the text) of about size bytes of text."""
-    held, n = [], 0
-    for r in rows:
-        held.append(r)
-        n += len(r[-1])
-        if n >= size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+def _ranked(h: int, length: int, split: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of the open runs of texts, ranked by h bytes. split: number of parts that a frequent rank is dealt to."""
+    frequent = np.array(sorted(split), np.int64)
+    parts = np.array([split[x] for x in sorted(split)], np.int64)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for ids, hashes, texts, offsets, ranges in _pieces(_open_texts(batches), length):
+            r = Runs(texts, offsets, ranges, h, length)
+            rank, name = r.rank.astype(np.int64), r.name.view(np.int64)
+            if len(frequent) and len(rank):
+                at = np.minimum(np.searchsorted(frequent, rank), len(frequent) - 1)
+                part = (r.name >> U(20)) % parts[at].astype(U)
+                dealt = SPLIT | (mix(r.rank + part * U(1 << RANK) + U(1 << 63)) >> U(64 - RANK)).astype(np.int64)
+                rank = np.where(frequent[at] == rank, dealt, rank)
+            place = np.array(hashes, np.int64)[r.text] << (SPAN + START) | r.first << SPAN | (r.last - r.first)
+            held.append((rank, name, np.array(ids, np.int64)[r.text], place))
+            if sum(len(x[0]) for x in held) > FLUSH_RUNS:
+                yield _sent(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+        if held:
+            yield _sent(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return rows
+
+
+def frequent_ranks(docs: DataFrame, size: int, n: int, h: int, length: int) -> dict[int, int]:
+    """Ranks that are frequent in a sample of the documents, and the number of partitions of n that each should fill."""
+    sample = docs.sample(min(1.0, SAMPLE_BYTES / max(1, size)), seed=7) if size > SAMPLE_BYTES else docs
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, texts, offsets, ranges in _pieces(_open_texts(batches), length):
+            yield pa.RecordBatch.from_arrays([pa.array(Runs(texts, offsets, ranges, h, length).rank.astype(np.int64))], ["rank"])
 
+    counted = sample.mapInArrow(ranks, "rank long").groupBy("rank").count()
+    total = size / min(1.0, max(1, size) / SAMPLE_BYTES) * 2 / (length - h + 2)  # expected runs in the sample
+    most = max(FREQUENT, total / (4 * n))
+    return {r["rank"]: 1 + int(4 * n * r["count"] / max(1.0, total)) for r in counted.filter(F.col("count") >= most).collect()}
 
-def _cover(ranges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and ends of the maximal runs covered by ranges (rows of begin, end)."""
-    if not len(ranges):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, ranges[:, 0], 1)
-    np.add.at(edge, ranges[:, 1], -1)
-    covered = np.cumsum(edge[:-1]) > 0
-    turns = np.flatnonzero(np.diff(covered, prepend=False, append=False))
-    return turns[::2], turns[1::2]
+
+def _cover(ranges: np.ndarray) -> np.ndarray:
+    """Maximal ranges (first, end) that cover the given ones; adjacent ones are joined."""
+    if len(ranges) < 2:
+        return ranges
+    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
+    end = np.maximum.accumulate(ranges[:, 1])
+    begins = np.append(True, ranges[1:, 0] > end[:-1])
+    at = np.flatnonzero(begins)
+    return np.stack([ranges[at, 0], np.append(end[at[1:] - 1], end[-1])], 1)
 
 
 def _result(raw: bytes, ranges: np.ndarray) -> tuple[int, int, int, str]:
-    begins, ends = _cover(ranges, len(raw))
-    kept = hashlib.sha256()
-    at = 0
-    for a, z in zip(begins.tolist(), ends.tolist(), strict=True):
+    kept, at = hashlib.sha256(), 0
+    for a, z in ranges.tolist():
         kept.update(raw[at:a])
         at = z
     kept.update(raw[at:])
-    return len(raw), int((ends - begins).sum()), len(begins), kept.hexdigest()
+    return len(raw), int((ranges[:, 1] - ranges[:, 0]).sum()), len(ranges), kept.hexdigest()
 
 
 RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+_STATE = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, id long, hash long, packed binary, ranges binary, open binary"
+_STATE_ARROW = pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]]) for x in _STATE.split(", ")])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    n = groups(docs)
-    keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("grp"), "doc_id", "text")
+def _advanced(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents with their answers: those without open runs get their result, the others the ranges known so far."""
 
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for b in _sliced(batches):
-            texts = zip(b["grp"], map(_key, b["doc_id"]), map(_bytes, b["text"]), strict=True)
-            for part in _pieces(texts):
-                r = Runs([x[2] for x in part], length, anchor)
-                grp, ids = np.array([x[0] for x in part]), np.array([x[1] for x in part])
-                hashes = np.array([_hash(x[2]) for x in part])
-                held.append((grp[r.text], ids[r.text], hashes[r.text], r.anchor, r.rank, r.run))
-            if sum(len(x[0]) for x in held) > 120_000:
-                yield _batch(_sent(n, *(np.concatenate(x) for x in zip(*held, strict=True))))
-                held = []
-        if held:
-            yield _batch(_sent(n, *(np.concatenate(x) for x in zip(*held, strict=True))))
+    def spans(places: list[int] | None, more: int) -> np.ndarray:
+        p = np.array(places or [], np.int64)
+        first = (p >> SPAN) & ((1 << START) - 1)
+        return _cover(np.stack([first, first + (p & ((1 << SPAN) - 1)) + more], 1))
 
-    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
-        for b in _sliced(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(b["grp"], pa.int32()), pa.array(b["doc_id"], pa.int64()), pa.array([z.compress(_bytes(t)) for t in b["text"]], pa.binary())], names=["grp", "doc_id", "packed"])
-
-    def first_answers(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        found, out, unzip = _by_document(answers), [], zstandard.ZstdDecompressor()
-        none = np.empty((0, 2), np.int64)
-        texts = ((g, i, p, unzip.decompress(p)) for g, i, p in zip(b["grp"], b["doc_id"].astype(object), b["packed"], strict=True))
-        for part in _pieces(texts):
-            todo = []
-            for g, i, p, raw in part:
-                key = (_key(i), _hash(raw))
-                if (*key, False) in found or (*key, True) in found:
-                    todo.append((g, i, p, raw, key))
-                else:
-                    out.append((int(g), i, *_result(raw, none), None, None, None))
-            runs = Runs([x[3] for x in todo], length, anchor)
-            for k, (g, i, p, raw, key) in enumerate(todo):
-                a, z = np.searchsorted(runs.text, [k, k + 1])
-                gone = np.isin(runs.anchor[a:z], np.concatenate([np.empty(0, np.int64), *found.get((*key, False), [])]))
-                left = np.concatenate([np.empty(0, np.int64), *found.get((*key, True), [])])
-                ranges = np.stack([runs.first[a:z][gone], runs.last[a:z][gone] + length], 1)
-                if len(left):
-                    out.append((int(g), i, None, None, None, None, p, ranges.astype(np.int64).tobytes(), left.astype(np.int64).tobytes()))
-                else:
-                    out.append((int(g), i, *_result(raw, ranges), None, None, None))
-        return pd.DataFrame(out, columns=["grp", *RESULT, "packed", "ranges", "open"]).astype({c: "Int64" for c in RESULT[:4]})
-
-    answers = keyed.mapInArrow(ranked, _SCHEMA).groupBy("bucket").applyInPandas(_settle(True), _ANSWER)
-    texts = keyed.mapInArrow(compressed, "grp int, doc_id long, packed binary")
-    schema = "grp int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, packed binary, ranges binary, open binary"
-    rows = durable(texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(first_answers, schema))
-    del answers, texts  # their shuffles are not needed any more
-    release(docs.sparkSession)
-    pending = rows.filter("packed is not null").select("grp", "doc_id", "packed", "ranges", "open")
-
-    def ranked_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        held: list[tuple[np.ndarray, ...]] = []
         for b in _sliced(batches):
-            texts = ((g, _key(i), o, unzip.decompress(p)) for g, i, o, p in zip(b["grp"], b["doc_id"], b["open"], b["packed"], strict=True))
-            for part in _pieces(texts):
-                r = Runs([x[3] for x in part], length, anchor)
-                hit = np.zeros(len(r.text), bool)
-                for k, x in enumerate(part):
-                    a, z = np.searchsorted(r.text, [k, k + 1])
-                    hit[a:z] = np.isin(r.anchor[a:z], np.frombuffer(x[2], np.int64))
-                of, start, key = r.strings(np.flatnonzero(hit))
-                text = r.text[of]
-                grp, ids = np.array([x[0] for x in part]), np.array([x[1] for x in part])
-                hashes = np.array([_hash(x[3]) for x in part])
-                held.append((grp[text], ids[text], hashes[text], start, r.rank[of], key))
-            if sum(len(x[0]) for x in held) > 120_000:
-                yield _batch(_sent(n, *(np.concatenate(x) for x in zip(*held, strict=True))))
-                held = []
-        if held:
-            yield _batch(_sent(n, *(np.concatenate(x) for x in zip(*held, strict=True))))
-
-    def last_answers(b: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        found, out, unzip = _by_document(answers), [], zstandard.ZstdDecompressor()
-        for i, p, r in zip(b["doc_id"].astype(object), b["packed"], b["ranges"], strict=True):
-            raw = unzip.decompress(p)
-            starts = np.concatenate([np.empty(0, np.int64), *found.get((_key(i), _hash(raw), False), [])])
-            ranges = np.concatenate([np.frombuffer(r, np.int64).reshape(-1, 2), np.stack([starts, starts + length], 1)])
-            out.append((i, *_result(raw, ranges)))
-        return pd.DataFrame(out, columns=RESULT).astype({"doc_id": "Int64"})
-
-    again = pending.select("grp", "doc_id", "open", "packed").mapInArrow(ranked_strings, _SCHEMA).groupBy("bucket").applyInPandas(_settle(False), _ANSWER)
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    late = pending.select("grp", "doc_id", "packed", "ranges").groupBy("grp").cogroup(again.groupBy("grp")).applyInPandas(last_answers, result)
-    return rows.filter("packed is null").select(*RESULT).union(late)
+            out = []
+            for doc_id, i, h, packed, old, gone, left in zip(*(b[c] for c in ("doc_id", "id", "hash", "packed", "ranges", "gone", "left")), strict=True):
+                before = np.frombuffer(old or b"", np.int64).reshape(-1, 2)
+                ranges = _cover(np.concatenate([before, spans(gone, length)]))
+                if left:
+                    # ranges of starts, as first and last one
+                    out.append((doc_id, None, None, None, None, i, h, packed, ranges.tobytes(), (spans(left, 1) - [0, 1]).tobytes()))
+                else:
+                    out.append((doc_id, *_result(unzip.decompress(packed), ranges), i, h, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _STATE_ARROW, strict=True)], schema=_STATE_ARROW)
+
+    return rows
+
+
+def _identity() -> list[Column]:
+    """id and hash of a document."""
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    null = F.lit(NULL_IDS) + h.bitwiseAND(F.lit((1 << 56) - 1))
+    return [F.coalesce(F.col("doc_id").cast("long"), null).alias("id"), F.shiftrightunsigned(h, 44).alias("hash")]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    if not 2 <= length <= LONGEST:
+        raise ValueError(f"length {length} is not in 2 to {LONGEST}")
+    size = text_bytes(docs)
+    n = partitions(docs.sparkSession, size)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
+                texts = [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "id", "hash")), pa.array(texts, pa.binary()), pa.nulls(len(texts), pa.binary())], ["doc_id", "id", "hash", "packed", "ranges"])
+
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_identity(), "text")
+    ranked_from = whole.select("id", "hash", "text")
+    texts = whole.mapInArrow(packed, "doc_id long, id long, hash long, packed binary, ranges binary")
+    done = None
+    for share in ROUNDS:
+        h = max(1, round(share * length))
+        split = frequent_ranks(ranked_from, size, n, h, length) if done is None else {}
+        rows = ranked_from.mapInArrow(_ranked(h, length, split), _ROW)
+        answers = rows.repartition(n, "rank").sortWithinPartitions("rank", "name", "id", "place").mapInArrow(_scan, "id long, place long, open boolean")
+        placed = answers.select("id", F.shiftright("place", SPAN + START).alias("hash"), "place", "open").repartition(n, "id", "hash").groupBy("id", "hash")
+        gathered = placed.agg(F.collect_list(F.when(~F.col("open"), F.col("place"))).alias("gone"), F.collect_list(F.when(F.col("open"), F.col("place"))).alias("left"))
+        state = texts.repartition(n, "id", "hash").join(gathered.hint("merge"), ["id", "hash"], "left").select("doc_id", "id", "hash", "packed", "ranges", "gone", "left").mapInArrow(_advanced(length), _STATE)
+        if share != ROUNDS[-1]:
+            state = durable(state)
+        some = state.filter("packed is null").select(*RESULT)
+        done = some if done is None else done.union(some)
+        pending = state.filter("packed is not null")
+        ranked_from, texts = pending.select("id", "hash", "packed", "open"), pending.select("doc_id", "id", "hash", "packed", "ranges")
+    return done

@@ -95,7 +95,11 @@ def made(rng, n=60):
     return out
 
 
-def test_suffix_against_brute_force(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_suffix_against_brute_force(spark, monkeypatch, small):
+    if small:  # pieces within texts, several flushes, frequent ranks split
+        for name, x in (("PIECE_BYTES", 256), ("FLUSH_RUNS", 20), ("FREQUENT", 1)):
+            monkeypatch.setattr(suffix_dedup, name, x)
     texts = [*made(random.Random(1)), "a" * 350, "a" * 99, "a" * 100, "ab" * 120]
     got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     seen = set()
@@ -456,14 +460,31 @@ def test_pipeline(spark):
     assert all(r["round_trip"] for r in rows)
 
 
-def test_anchor_ranks_spread_over_buckets():
+def test_ranks_spread():
     rng = random.Random(8)
     text = "".join(rng.choice("abcdefgh ") for _ in range(60_000)).encode()
-    ranks = suffix_dedup.Runs([text], 100, 48).rank
-    per_bucket = np.bincount(ranks >> 28, minlength=16)
+    runs = suffix_dedup.Runs([text], [0], [np.array([[0, len(text) - 100]])], 50, 100)
+    per_bucket = np.bincount((runs.rank >> np.uint64(suffix_dedup.RANK - 4)).astype(int), minlength=16)
     assert per_bucket.max() < 2 * per_bucket.mean()
 
 
+def test_scan_in_batches_of_any_size():
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    for _ in range(60):
+        rows = sorted((rng.randrange(6) + (suffix_dedup.SPLIT if rng.random() < 0.1 else 0), rng.randrange(3), rng.randrange(4), rng.randrange(3) << suffix_dedup.SPAN) for _ in range(rng.randint(1, 30)))
+        by_rank, first = {}, {}
+        for rank, name, i, p in rows:
+            by_rank.setdefault(rank, set()).add(name)
+            first.setdefault((rank, name), (i, p))
+        want = sorted([(i, p, False) for rank, name, i, p in rows if (i, p) != first[rank, name]] + [(*first[c], True) for c in first if len(by_rank[c[0]]) > 1 or c[0] >= suffix_dedup.SPLIT])
+        for size in (1, 2, 7, 100):
+            batches = [suffix_dedup._batch(list(np.array(rows[a : a + size], np.int64).T), suffix_dedup._ROW_ARROW) for a in range(0, len(rows), size)]
+            got = pa.Table.from_batches(list(suffix_dedup._scan(iter(batches)))).to_pylist()
+            assert sorted((r["id"], r["place"], r["open"]) for r in got) == want
+
+
 def test_pieces_ties_and_long_segments():
     enc = pieces.Encoder(*pieces.load())
     rng = random.Random(11)
