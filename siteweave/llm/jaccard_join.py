@@ -1,18 +1,24 @@
-"""N-gram Jaccard join: word-shingle sets, ordered globally by document frequency, joined in prefix trees; components of the links.
-
-Two documents link when 100 * |intersection| >= percent * |union|. Exact, without caps on partners:
-
-1. ``frequencies``: tasks send the 32-bit hashes of all shingles, packed, to buckets, which count them and answer each group of documents
-   (by hash of the row) with the document frequencies above one of its shingles.
-2. ``prefixes``: with these the sets of a group are ordered, rare shingles first. Two sets that link share a shingle among the first
-   n - ceil(percent * n / 100) + 1 of either, and shingles of one document only are shared by none; so a set is kept only
-   with the repeated shingles of its prefix, and most documents leave here. Documents of equal sets are one node (63-bit signature).
-3. ``candidates``: tasks send one row per prefix shingle of theirs and join what they hold themselves, so that a shingle of a
-   third of all rows costs one row a task. The components of "shares a prefix shingle" are the candidate clusters.
-4. ``tree_links``: the sets of a cluster form a prefix tree, most frequent shingles first; each set walks it once, sharing the
+"""N-gram Jaccard join: word-shingle sets, globally ordered, joined in prefix trees; components of the links.
+
+Two documents link when 100 * |intersection| >= percent * |union|. Without caps on partners:
+
+1. ``order_counts``: shingles are counted in a bounded sample, in SLOTS counters. (count, hash) is the global order of shingles, frequent ones last. Any
+   order gives the same links; this one keeps frequent shingles out of prefixes.
+2. ``passing``: sets that link share at least q shingles among the first n - ceil(percent * n / 100) + q of either. Rows (shingle, set) of these prefixes
+   are dealt by shingle, sorted and scanned in a stream; a set with fewer than q shared shingles leaves, as most do. q is a
+   quarter of the tolerated difference (at least 1), taken for the smallest partner a set can have.
+3. ``neighbourhoods``: the rows of the remaining sets are scanned once more. The least set of a shingle is its hub, and all sets with a shingle of that hub are
+   its neighbourhood, so sets that link have a neighbourhood in common. No closure is built before links are verified.
+4. ``links``: the sets of a neighbourhood form a prefix tree, the most frequent shingles of its sets first; each set walks it once, sharing the
    overlap of shared prefixes and leaving subtrees whose sizes and remaining lengths can't reach the threshold or that are linked already.
-   A cluster beyond BLOCK_SETS or BLOCK_SHINGLES is split into blocks by signature, and each pair of blocks is a group of bounded
-   size; the links of the blocks are then joined by ``components``.
+   A neighbourhood beyond BLOCK_SETS or BLOCK_SHINGLES is split into blocks by set, the hub being in each. These links mostly make it one component;
+   the sets outside its largest component are then joined with all its blocks. So the work grows with the square only where the sets share
+   prefixes without being linked. ``components`` joins the links of all neighbourhoods.
+
+Sets are told apart by 63-bit signatures, shingles by 64-bit hashes; they are not compared word by word.
+
+Plan: rows are plain columns and partitions follow the counted bytes of text, so the cost of a byte does not depend on their number. Broadcast are the
+counters (fixed size) and a Bloom filter of fixed size, which lets more sets through as it fills and never loses one.
 
 Defined results: null or empty text has no shingles, links with nothing, and is its own component. Repeated rows with one doc_id give a
 row each; rows with a null doc_id give as component_id the smallest non-null doc_id of the component, or null. Other columns are
@@ -21,19 +27,22 @@ ignored here and kept by ``drop_near_duplicates``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteweave.llm.bytehash import U, forest, mix, pieces, shingle_sets
-from siteweave.llm.common import LOWER, UPPER, durable, free, groups
+from siteweave.llm.common import LOWER, UPPER, durable, free, in_filter, key_filter, partitions, text_bytes
 from siteweave.llm.components import components
 
 #: Most sets and shingles of a block.
-BLOCK_SETS, BLOCK_SHINGLES = 2000, 4_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 500, 1_000_000
+#: Counters of the order, the least count that they keep, and bytes of text of the sample.
+SLOTS, COUNTED, SAMPLE_BYTES = 1 << 21, 3, 1 << 24
 
 
 def signature(s: np.ndarray) -> int:
@@ -42,122 +51,139 @@ def signature(s: np.ndarray) -> int:
     return int(h[0] >> U(1))
 
 
-def _cuts(n: int) -> np.ndarray:
-    """Ends of all but the last of n equal ranges of 32-bit hashes."""
-    return (np.arange(1, n, dtype=U) << U(32)) // U(n)
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """A few rows at a time with the shingle sets of their texts."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 256):
+            b = whole.slice(lo, 256)
+            yield b, [s for _, run in pieces(b.column("text").to_pylist()) for s in shingle_sets(run, words)]
+
+
+def order_counts(docs: DataFrame, words: int, size: int) -> np.ndarray:
+    """Counters of the shingles of a sample of about SAMPLE_BYTES; at most SLOTS rows are collected."""
+    sample = docs.sample(SAMPLE_BYTES / size, seed=11) if size > SAMPLE_BYTES else docs
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for _, sets in _sets(batches, words):
+            for s in sets:
+                np.add.at(n, _slot(s), 1)
+        own = np.flatnonzero(n)
+        for lo in range(0, len(own), 100_000):
+            part = own[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], ["slot", "n"])
+
+    counted = sample.select("text").mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= COUNTED)
+    rows = counted.toPandas()
+    out = np.zeros(SLOTS, np.uint32)
+    out[rows["slot"].to_numpy(np.int64)] = np.minimum(rows["n"].to_numpy(np.int64), 0xFFFFFFFF)
+    return out
 
 
-def frequencies(docs: DataFrame, words: int, n: int) -> DataFrame:
-    """(grp, hashes, counts): for each group of docs(grp, text), its shingles' 32-bit hashes that occur in more than one document, packed."""
+def _slot(s: np.ndarray) -> np.ndarray:
+    return (s & U(SLOTS - 1)).astype(np.int64)
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[np.ndarray]] = {}
-        size = 0
 
-        def flush() -> pd.DataFrame:
-            rows = []
-            for g, parts in held.items():
-                h = np.sort(np.concatenate(parts))
-                ends = [0, *np.searchsorted(h, _cuts(n)).tolist(), len(h)]
-                rows += [(k, g, h[a:z].tobytes()) for k, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
-            held.clear()
-            return pd.DataFrame(rows, columns=["bucket", "grp", "hashes"])
+def shared_least(n: int, percent: int) -> int:
+    """q for sets of n shingles."""
+    return max(1, (100 - percent) * n // 400)
 
+
+def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set's prefix in the global order."""
+    size = len(s) - (percent * len(s) + 99) // 100 + shared_least(len(s), percent)
+    if size >= len(s):
+        return s
+    return s[np.lexsort((s, counts[_slot(s)]))[:size]]
+
+
+_PAIRS = pa.schema([("shingle", pa.int64()), ("sig", pa.int64()), ("n", pa.int64())])
+
+
+def _pairs(sigs: list[int], sizes: list[int], prefixes: list[np.ndarray]) -> pa.RecordBatch:
+    each = [len(p) for p in prefixes]
+    flat = np.concatenate([np.empty(0, U), *prefixes]).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(sigs, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int64), each))], schema=_PAIRS)
+
+
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (shingle, sig): (sig, n, hub) for the sets of each shingle that has several, the hub being its least."""
+    held: tuple[tuple[int, int, int], tuple[int, int, int]] | None = None  # first and last row of the shingle that the rows before ended in
+    alone = False  # whether that shingle has no other set than its hub so far
+    for b in batches:
+        shingle, sig, n = (c.to_numpy() for c in b.columns)
+        if not len(shingle):
+            continue
+        carried = held is not None
+        if held is not None:
+            shingle, sig, n = (np.concatenate([[x, y], own]) for x, y, own in zip(*held, (shingle, sig, n), strict=True))
+        new = np.append(True, shingle[1:] != shingle[:-1])
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        other = ~new & np.append(False, sig[1:] != sig[:-1])
+        several = np.zeros(len(new), bool)
+        several[head[other]] = True
+        first = new & several
+        if carried:
+            other[:2] = False
+            first[0] = alone and several[0]
+        rows = np.concatenate([np.flatnonzero(other), np.flatnonzero(first)])
+        yield pa.RecordBatch.from_arrays([pa.array(sig[rows]), pa.array(n[rows]), pa.array(sig[head[rows]])], ["sig", "n", "hub"])
+        last = head[-1]
+        alone = not several[last] and (alone or last > 0 or not carried)
+        held = tuple((int(shingle[i]), int(sig[i]), int(n[i])) for i in (last, -1))
+
+
+def _scanned(rows: DataFrame, partitions_: int) -> DataFrame:
+    return rows.repartition(partitions_, "shingle").sortWithinPartitions("shingle", "sig").mapInArrow(_hubs, "sig long, n long, hub long")
+
+
+def passing(docs: DataFrame, words: int, percent: int, counts: Broadcast, partitions_: int) -> DataFrame:
+    """(sig) of the sets of docs(text) whose prefix has enough shingles of other prefixes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, sets in _sets(batches, words):
+            own = {sig: s for s in sets if len(s) and (sig := signature(s)) not in seen}
+            seen.update(own)
+            yield _pairs(list(own), [len(s) for s in own.values()], [prefix(s, counts.value, percent) for s in own.values()])
+            if len(seen) > 1_000_000:
+                seen.clear()
+
+    shared = _scanned(docs.select("text").mapInArrow(rows, "shingle long, sig long, n long"), partitions_).groupBy("sig").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
+    # the smallest partner of n shingles has percent of them, which sets how many the two share at least
+    smallest = F.ceil(F.col("n") * percent / 100)
+    return durable(shared.filter(F.col("shared") >= F.greatest(F.lit(1), F.floor(smallest * (100 - percent) / 400))).select("sig"))
+
+
+def signed(docs: DataFrame, words: int, percent: int, counts: Broadcast, only: Broadcast) -> DataFrame:
+    """doc_id, n (shingles), sig, and for sets that pass the filter, once a task, shingles and prefix (packed 64-bit hashes)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b, sets in _sets(batches, words):
+            sigs = [signature(s) for s in sets]
+            pass_ = in_filter(only.value, np.array(sigs, np.int64))
+            kept, parts = [], []
+            for s, sig, ok in zip(sets, sigs, pass_.tolist(), strict=True):
+                ok = ok and len(s) > 0 and sig not in seen
+                if ok:
+                    seen.add(sig)
+                kept.append(s.tobytes() if ok else None)
+                parts.append(prefix(s, counts.value, percent).tobytes() if ok else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array(kept, pa.binary()), pa.array(parts, pa.binary())], ["doc_id", "n", "sig", "shingles", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, sig long, shingles binary, prefix binary")
+
+
+def neighbourhoods(sets: DataFrame, partitions_: int) -> DataFrame:
+    """(sig, n, hub): the sets that share a shingle of their prefixes with the hub's prefix and have no lesser set for it."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grp = b["grp"].to_numpy()
-            for first, run in pieces(b["text"]):
-                for i, s in enumerate(shingle_sets(run, words), first):
-                    if len(s):
-                        held.setdefault(int(grp[i]), []).append((s >> U(32)).astype(np.uint32))
-                        size += len(s)
-                if size > 16_000_000:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
-
-    def counted(b: pd.DataFrame) -> pd.DataFrame:
-        own = [np.frombuffer(x, np.uint32) for x in b["hashes"]]
-        every, n_docs = np.unique(np.concatenate(own), return_counts=True)
-        many = n_docs > 1
-        every, n_docs = every[many], np.minimum(n_docs[many], 65535).astype(np.uint16)
-        rows = []
-        for g in np.unique(b["grp"]):
-            h = np.unique(np.concatenate([own[i] for i in np.flatnonzero(b["grp"] == g)]))
-            at = np.minimum(np.searchsorted(every, h), max(0, len(every) - 1))
-            hit = every[at] == h if len(every) else np.zeros(len(h), bool)
-            rows.append((g, h[hit].tobytes(), n_docs[at[hit]].tobytes()))
-        return pd.DataFrame(rows, columns=["grp", "hashes", "counts"])
-
-    rows = docs.select("grp", "text").mapInPandas(packed, "bucket int, grp int, hashes binary")
-    return rows.groupBy("bucket").applyInPandas(counted, "grp int, hashes binary, counts binary")
-
-
-def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (shingles), sig and, for sets that may have a partner, shingles and prefix (packed 64-bit hashes)."""
-    n = groups(docs)
-    keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("grp"), "doc_id", "text")
-    answers = frequencies(keyed, words, n)
-
-    def ordered(b: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        known = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in answer["hashes"])])
-        counts = np.concatenate([np.empty(0, np.uint16), *(np.frombuffer(x, np.uint16) for x in answer["counts"])])
-        order = np.argsort(known)
-        known, counts = known[order], counts[order]
-        rows, seen = [], set()
-        for first, run in pieces(b["text"]):
-            for i, s in enumerate(shingle_sets(run, words), first):
-                sig, kept, prefix = signature(s), None, None
-                if len(known) and len(s) and sig not in seen:
-                    h = (s >> U(32)).astype(np.uint32)
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    df = np.where(known[at] == h, counts[at], 1)
-                    p = len(s) - (percent * len(s) + 99) // 100 + 1
-                    lone = int((df == 1).sum())
-                    if lone < p:
-                        seen.add(sig)
-                        kept, prefix = s.tobytes(), s[np.lexsort((s, df))[lone:p]].tobytes()
-                rows.append((b["doc_id"].iat[i], len(s), sig, kept, prefix))
-        return pd.DataFrame(rows, columns=["doc_id", "n", "sig", "shingles", "prefix"]).astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, n long, sig long, shingles binary, prefix binary"
-    return durable(keyed.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(ordered, schema))
-
-
-def candidates(sets: DataFrame, n: int) -> DataFrame:
-    """(src, dst) signatures of sets(sig, prefix); their components are the candidate clusters."""
-
-    def stars(shingles: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each shingle the least signature, and the edges of the others to it."""
-        order = np.lexsort((sigs, shingles))
-        t, s = shingles[order], sigs[order]
-        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        low = np.repeat(s[first], np.diff(first, append=len(t)))
-        return t[first], s[first], s[low != s], low[low != s]
-
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parts = [np.frombuffer(x, U) for x in b["prefix"]]
-            if not parts:
-                continue
-            t, s, a, z = stars(np.concatenate(parts), np.repeat(b["sig"].to_numpy(np.int64), [len(x) for x in parts]))
-            child, root = forest(a, z)
-            cut = [0, *np.searchsorted(t >> U(32), _cuts(n)).tolist(), len(t)]
-            spread = np.linspace(0, len(child), n + 1).astype(int).tolist()
-            rows = [(k, t[a:z].tobytes(), s[a:z].tobytes(), child[c:d].tobytes(), root[c:d].tobytes()) for k, (a, z, c, d) in enumerate(zip(cut[:-1], cut[1:], spread[:-1], spread[1:], strict=True)) if z > a or d > c]
-            yield pd.DataFrame(rows, columns=["bucket", "shingles", "sigs", "child", "root"])
-
-    def linked(b: pd.DataFrame) -> pd.DataFrame:
-        own = {c: np.concatenate([np.frombuffer(x, U if c == "shingles" else np.int64) for x in b[c]]) for c in ("shingles", "sigs", "child", "root")}
-        a, z = own["child"], own["root"]
-        if len(own["shingles"]):
-            _, _, more_a, more_z = stars(own["shingles"], own["sigs"])
-            a, z = np.concatenate([a, more_a]), np.concatenate([z, more_z])
-        child, root = forest(a, z)
-        return pd.DataFrame({"src": child, "dst": root})
-
-    rows = sets.select("sig", "prefix").mapInPandas(packed, "bucket int, shingles binary, sigs binary, child binary, root binary")
-    return rows.groupBy("bucket").applyInPandas(linked, "src long, dst long")
+            sigs, sizes, parts = (b.column(c).to_pylist() for c in ("sig", "n", "prefix"))
+            yield _pairs(sigs, sizes, [np.frombuffer(x, U) for x in parts])
+
+    return durable(_scanned(sets.select("sig", "n", "prefix").mapInArrow(rows, "shingle long, sig long, n long"), partitions_).distinct())
 
 
 class _Node:
@@ -241,34 +267,68 @@ def tree_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """(src, dst) signatures: links that span the components inside the clusters (src, dst) of sets(sig, n, shingles)."""
-    members = clusters.union(clusters.select("dst", "dst").distinct()).toDF("sig", "root")
-    sized = members.join(sets.groupBy("sig").agg(F.max("n").alias("n")), "sig")
-    sizes = sized.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
-    members = durable(members.join(sizes, "root"))
-    own = sets.select("sig", "shingles").join(members, "sig")
-    block = F.pmod("sig", "k").cast("int")
-    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("root", F.least(block, "other").alias("one"), F.greatest(block, "other").alias("two"), "sig", "shingles")
+def _cell_links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links inside each cell of rows (hub, one, two, sig, shingles) that come cell by cell; one cell is held at a time."""
 
-    def joined(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.drop_duplicates("sig")
-        sig = b["sig"].to_numpy()
-        found = tree_links([np.frombuffer(x, U) for x in b["shingles"]], percent)
-        a, z = np.array(found, int).reshape(-1, 2).T
-        child, root = forest(sig[a], sig[z])
-        return pd.DataFrame({"src": child, "dst": root})
+    def cell(sets: dict[int, np.ndarray]) -> list[np.ndarray]:
+        sigs = np.array(list(sets), np.int64)
+        a, z = np.array(tree_links(list(sets.values()), percent), int).reshape(-1, 2).T
+        return list(forest(sigs[a], sigs[z]))
 
-    found = durable(rows.groupBy("root", "one", "two").applyInPandas(joined, "src long, dst long"))
-    return components(found) if members.filter("k > 1").limit(1).count() else found
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, {}, [[np.empty(0, np.int64)] * 2]
+        for b in batches:
+            for *own, sig, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own != key:
+                    if len(held) > 1:
+                        out.append(cell(held))
+                    key, held = own, {}
+                held[sig] = np.frombuffer(s, U)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["src", "dst"])
+            out = [[np.empty(0, np.int64)] * 2]
+        if len(held) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cell(held)], ["src", "dst"])
+
+    return rows
+
+
+def _cells(members: DataFrame, sets: DataFrame, percent: int, partitions_: int) -> DataFrame:
+    """(src, dst): links inside the cells of members(hub, one, two, sig)."""
+    rows = members.join(sets, "sig").select("hub", "one", "two", "sig", "shingles")
+    return durable(rows.repartition(partitions_, "hub", "one", "two").sortWithinPartitions("hub", "one", "two").mapInArrow(_cell_links(percent), "src long, dst long"))
+
+
+def links(sets: DataFrame, members: DataFrame, percent: int, partitions_: int) -> DataFrame:
+    """(src, dst) signatures: links that span the components of sets(sig, shingles), found in the neighbourhoods members(sig, n, hub)."""
+    sets = durable(sets.select("sig", "shingles").dropDuplicates(["sig"]))
+    sizes = members.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    big = durable(sizes.filter("k > 1"))
+    several = members.join(big, "hub", "left").select("sig", "hub", F.coalesce("k", F.lit(1)).alias("k"))
+    block = F.pmod(F.xxhash64("sig"), "k").cast("int")
+    every = F.explode(F.when(F.col("sig") == F.col("hub"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(block)))
+    found = _cells(several.select("hub", every.alias("one"), F.lit(0).alias("two"), "sig"), sets, percent, partitions_)
+    if big.isEmpty():
+        return components(found)
+    # of large neighbourhoods: what their blocks leave outside the largest component is joined with all of them
+    labels = components(found).toDF("sig", "low")
+    labelled = durable(members.join(big, "hub").join(labels, "sig", "left").select("sig", "hub", "k", F.coalesce("low", "sig").alias("label")))
+    largest = labelled.groupBy("hub", "label").count().groupBy("hub").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    rest = durable(labelled.join(durable(largest), "hub").filter("label <> main").select("sig", "hub", "k"))
+    parts = durable(rest.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("parts")))
+    all_ = labelled.join(parts, "hub").select("hub", block.alias("one"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("two"), "sig")
+    few = rest.join(parts, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("one"), F.pmod(F.xxhash64("sig"), "parts").cast("int").alias("two"), "sig")
+    return components(found.union(_cells(all_.union(few).distinct(), sets, percent, partitions_)))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
-    rows = prefixes(docs, words, percent)
+    context, size = docs.sparkSession.sparkContext, text_bytes(docs)
+    n = partitions(docs.sparkSession, size)
+    counts = context.broadcast(order_counts(docs, words, size))
+    only = context.broadcast(key_filter(passing(docs, words, percent, counts, n)))
+    rows = durable(signed(docs, words, percent, counts, only))
     sets = rows.filter("shingles is not null")
-    clusters = components(candidates(sets, groups(docs)))
-    found = links(sets, clusters, percent)
+    found = links(sets, neighbourhoods(sets, n), percent, n)
     keyed = rows.filter("n > 0").select("doc_id", "n", "sig").join(found.toDF("sig", "low"), "sig", "left").select("doc_id", "n", F.coalesce("low", "sig").alias("key"))
     lowest = durable(keyed.groupBy("key").agg(F.min("doc_id").alias("component_id")))  # written: a join of two plain exchanges can split a hot key
     some = keyed.join(lowest, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -200,20 +200,51 @@ def test_jaccard_tree_against_pairs():
         assert roots(len(sets), pairs) == roots(len(sets), jaccard_join.tree_links(sets, percent))
 
 
-def test_jaccard_blocks_give_the_same(spark, monkeypatch):
+def shingle_links(texts, words, percent):
+    """Least linked text of each text, by all pairs."""
+    sets = [{tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set() for w in (t.lower().split() for t in texts)]
+    low = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if low[i] != low[j] and a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                    low = [min(low[i], low[j]) if x in (low[i], low[j]) else x for x in low]
+    return [(i, len(s), x) for i, (s, x) in enumerate(zip(sets, low, strict=True))]
+
+
+@pytest.mark.parametrize("block", [500, 7])
+def test_jaccard_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
     rng = random.Random(4)
-    base = [f"w{i}" for i in range(60)]
-    rows = []
-    for i in range(60):
-        w = list(base)
-        for _ in range(rng.randint(0, 2)):
-            w[rng.randrange(60)] = f"x{i}"
-        rows.append((i, " ".join(w)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    whole = sorted(map(tuple, jaccard_join.near_duplicates(docs).collect()))
-    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 7)
-    assert sorted(map(tuple, jaccard_join.near_duplicates(docs).collect())) == whole
-    assert len({c for _, _, c in whole}) < 60
+    texts = [" ".join(w) for w in (["a"], ["a", "b"], [], ["a", "b", "c"])]
+    for size, n in ((60, 50), (12, 15), (200, 10), (40, 25)):
+        base = [f"w{rng.randrange(80)}" for _ in range(size)]
+        for i in range(n):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = f"x{size}-{rng.randrange(4)}"
+            texts.append(" ".join(w[: rng.choice([size, size, size - size // 8])]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for words, percent in ((5, 80), (4, 85)):
+        want = shingle_links(texts, words, percent)
+        assert sorted(map(tuple, jaccard_join.near_duplicates(docs, words, percent).collect())) == want
+        assert 10 < len({c for _, _, c in want}) < len(texts) - 20
+
+
+def test_hubs_in_batches_of_any_size():
+    import pyarrow as pa
+
+    rng = random.Random(15)
+    for _ in range(60):
+        rows = sorted((rng.randrange(5), rng.randrange(6), 9) for _ in range(rng.randint(1, 25)))
+        sigs = {}
+        for shingle, sig, _ in rows:
+            sigs.setdefault(shingle, set()).add(sig)
+        want = sorted((sig, 9, min(s)) for s in sigs.values() if len(s) > 1 for sig in s)
+        for size in (1, 2, 5, 100):
+            batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in np.array(rows[a : a + size], np.int64).T], ["shingle", "sig", "n"]) for a in range(0, len(rows), size)]
+            got = pa.Table.from_batches(list(jaccard_join._hubs(iter(batches)))).to_pylist()
+            assert sorted((r["sig"], r["n"], r["hub"]) for r in got) == want
 
 
 def test_pieces_against_brute_force():
