@@ -457,6 +457,56 @@ def test_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_grams(text):
+    words = re.sub(r"[^a-zäöüßéèêçàñóíáúâîôûëïœ]+", " ", text.lower()).encode()
+    words = b" " + words + b" "
+    words = re.sub(rb" +", b" ", words)
+    return [g for n in (3, 4) for i in range(len(words) - n + 1) if b" " not in (g := words[i : i + n])[1:-1]]
+
+
+def test_language_counts_against_brute_force(spark):
+    from collections import Counter
+
+    docs = [r for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    model = language_id.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    import zlib
+
+    by = {}
+    for r in docs:
+        if r["lang"] and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            by.setdefault(r["lang"], Counter()).update(plain_grams(r["text"]))
+    shares = {k: {g: n / c.total() for g, n in c.items()} for k, c in by.items()}
+    own = {k: {g for g, x in s.items() if x >= language_id.LEAST_SHARE and x >= language_id.SHARE * max(o.get(g, 0) for o in shares.values())} for k, s in shares.items()}
+    texts = [r["text"] for r in docs if r["text"]][:80]
+    total, found = model.counts([language_id._fold(t) for t in texts])
+    for i, t in enumerate(texts):
+        g = plain_grams(t)
+        assert total[i] == len(g)
+        for k, lang in enumerate(model.languages):
+            assert abs(found[k, i] - sum(x in own[lang] for x in g)) <= 3 + 0.04 * len(g)
+
+
+def test_a_hundred_languages_and_long_texts(spark):
+    rng = random.Random(16)
+    letters = [[chr(0x400 + (7 * k + 3 * i) % 700) for i in range(12)] for k in range(100)]
+    text = lambda k, n: " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randint(2, 7))) for _ in range(n))
+    rows = [(i, text(i % 100, 30), f"l{i % 100:03}") for i in range(1000)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] % 100:03}" for r in got if r["held_out"]) >= 0.93 * sum(r["held_out"] for r in got)
+    model = language_id.Filter(["a", "b"], np.full((1, 1 << 16), 2, np.uint64))
+    long = language_id._fold(text(0, 400_000) + "x" * 3_000_000)
+    pieces_ = [p for _, run in language_id._pieces([long]) for p in run]
+    assert len(pieces_) > 5 and max(map(len, pieces_)) <= 1 << 20
+    short = language_id._fold(text(0, 2000))
+    whole = model.counts([short])
+    old, language_id._PIECE_BYTES = language_id._PIECE_BYTES, 200
+    try:
+        cut = model.counts([short])
+    finally:
+        language_id._PIECE_BYTES = old
+    assert cut[0] == whole[0] and (cut[1] == whole[1]).all()
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.score(docs, labels).join(labels, "doc_id").filter("held_out and toxic is not null").collect()
