@@ -1,22 +1,26 @@
 """Toxicity by weak supervision.
 
 1. Voters: lexicon and pattern functions that vote toxic (1), clean (-1) or abstain (0) on a whole text. One lexicon is mined: words and
-   word beginnings that are much more common in toxic than in clean training labels.
+   word beginnings that are much more common in toxic than in clean training labels of the sample below. The training labels themselves are one
+   more voter of the label model (``given``), of accuracy TRUST, which abstains where there is none.
 2. Label model: a generative model of the votes given a hidden class, fitted by EM on the counts of all vote patterns of the
-   training documents (each document counts). Correlations of voters within a class are estimated from the first fit, and correlated voters
-   get less weight in the second. The share of toxic labels among the training labels starts the class balance.
-3. Classifier: logistic regression on posterior labels (blended with the given label where there is one) of at most TRAIN_ROWS
-   documents in three strata (toxic, clean, unlabelled), weighted back to their sizes; features are the votes and counts of up to
+   training documents (each document counts). Voters that turn out no more accurate than the class balance are switched off, and correlations of
+   voters within a class, estimated from the first fit, lower the weight of correlated voters in the second. The share of toxic labels among the
+   training labels starts the class balance.
+3. Classifier: logistic regression on the label model's posteriors, and nothing else, of at most TRAIN_ROWS
+   documents in three strata (toxic, clean, unlabelled), weighted back to their sizes; features are the text's votes and counts of up to
    VOCABULARY words and word beginnings that the posterior singles out. A shift of the intercept puts the training labels' best F1 cut at
    the threshold.
 
 Training rows are those whose crc32(doc_id as text) modulo 4 is not 2; labels, lang, source and doc_id are never inputs of a score.
 Broadcast and collected: vote pattern counts (at most 3 ** voters, in practice hundreds), TRAIN_ROWS rows, the model.
 
-Plan: one pass gathers the sample, one counts patterns, one scores; no document text is shuffled.
+Plan: one pass gathers the sample, one counts patterns, one scores, each a batch of texts at a time; no document text is shuffled, only the
+(doc_id, votes) rows that meet their labels.
 
 Defined results: null or empty text has no votes but the clean ones and gets that score; without any training row the classifier is the
-sum of the votes; repeated rows give repeated results; null doc_id is never trained on.
+sum of the votes; repeated rows give repeated results; null doc_id is never trained on. Long texts are worked through in pieces cut at
+ASCII punctuation or spaces (a word of more than a piece is cut).
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 from siteweave.llm.bytehash import BASE, BYTE, INVERSE, U, mix, powers
 
 TRAIN_ROWS, VOCABULARY, THRESHOLD = 8000, 3000, 0.3
+#: Accuracy of the given labels; those of all other voters are estimated.
+TRUST = 0.999
 #: Mined lexicon: at least so many toxic documents with the code, and so many times as common there as in clean ones.
 MINED_LEAST, MINED_RATIO, MINED = 6, 12.0, 1000
 #: Lengths in bytes of word beginnings, and the counts at which a code makes a further feature.
@@ -53,7 +59,7 @@ POSITIVE = "please thanks thank kindly welcome sincerely appreciate grateful"
 Row = tuple[list[int], np.ndarray, int | None]
 LEET = str.maketrans("013457@$!|", "oieastasil")
 VOTERS = (*LEXICONS, "several", "dense", "direct", "disguised", "shouted", "polite", "nothing", "mined")
-_STRETCH = re.compile(r"(.)\1{2,}")
+_STRETCH = re.compile(r"([a-z])\1{2,}")
 _ODD_WORD = re.compile(r"\b(?=\w*[013457@$!|*]\w*)[a-z013457@$!|*]{4,14}\b")
 
 
@@ -112,7 +118,11 @@ def _disguised(low: str) -> bool:
 
 
 def _stretched(low: str) -> bool:
-    return any(_STRETCH.sub(r"\1", w) in _PLAIN for m in _STRETCH.finditer(low) if m[1].isalpha() for w in re.findall(r"\w+", low[max(0, m.start() - 20) : m.end() + 20]))
+    raw = np.frombuffer(low.encode("utf-8", "surrogatepass"), np.uint8)
+    same = raw[1:] == raw[:-1]
+    if not (same[1:] & same[:-1]).any():
+        return False
+    return any(_STRETCH.sub(r"\1", w) in _PLAIN for m in _STRETCH.finditer(low) for w in re.findall(r"\w+", low[max(0, m.start() - 20) : m.end() + 20]))
 
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -120,26 +130,77 @@ _FOLD[65:91] += 32
 for _c in range(128):
     if not chr(_c).isalnum():
         _FOLD[_c] = 32
-
-
-def word_codes(text: str | None) -> np.ndarray:
-    """Distinct 32-bit codes of the words and word beginnings (ASCII lowered, cut at ASCII punctuation) of a text, once per level of their count."""
-    raw = _FOLD[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
-    solid = raw != 32
-    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint32)
-    n = len(raw)
-    total = np.zeros(n + 1, U)
-    np.cumsum(BYTE[raw] * powers(BASE, n), out=total[1:])
-    back = powers(INVERSE, n)
-    parts = [(total[ends] - total[starts]) * back[starts]]
-    for k in BEGINNINGS:
-        a = starts[ends - starts > k]
-        parts.append((total[a + k] - total[a]) * back[a] + U(k))
-    codes, n_times = np.unique((mix(np.concatenate(parts)) >> U(32)).astype(np.uint32), return_counts=True)
-    return np.concatenate([codes[n_times >= level] + np.uint32(level) for level in LEVELS])
+_PIECE_BYTES = 1 << 19
+_CUT = re.compile(rb"[\x00-/:-@\[-`{-\x7f]")
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Pieces of texts, about _PIECE_BYTES together, with the texts' numbers."""
+    owners, run, size = [], [], 0
+    for i, t in enumerate(texts):
+        raw, at = (t or "").encode("utf-8", "surrogatepass"), 0
+        while at < len(raw):
+            m = _CUT.search(raw, at + _PIECE_BYTES, at + 2 * _PIECE_BYTES) if len(raw) - at > _PIECE_BYTES else None
+            end = m.end() if m else min(len(raw), at + 2 * _PIECE_BYTES)
+            owners.append(i)
+            run.append(raw[at:end])
+            size += end - at
+            at = end
+            if size >= _PIECE_BYTES:
+                yield owners, run
+                owners, run, size = [], [], 0
+    if run:
+        yield owners, run
+
+
+def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, code), sorted by text: distinct 32-bit codes of the words and word beginnings (ASCII lowered, cut at ASCII punctuation) of each text, once per level of their count."""
+    keys, times = [np.empty(0, U)], [np.empty(0, np.int64)]
+    for owners, run in _pieces(texts):
+        raw = _FOLD[np.frombuffer(b" ".join(run), np.uint8)]
+        solid = raw != 32
+        edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+        starts, ends = edge[::2], edge[1::2]
+        n = len(raw)
+        total = np.zeros(n + 1, U)
+        np.cumsum(BYTE[raw] * powers(BASE, n), out=total[1:])
+        back = powers(INVERSE, n)
+        begins = np.cumsum([0] + [len(r) + 1 for r in run[:-1]])
+        owner = np.array(owners, U)[np.searchsorted(begins, starts, side="right") - 1] << U(32)
+        parts = [owner | mix((total[ends] - total[starts]) * back[starts]) >> U(32)]
+        for k in BEGINNINGS:
+            longer = ends - starts > k
+            a = starts[longer]
+            parts.append(owner[longer] | mix((total[a + k] - total[a]) * back[a] + U(k)) >> U(32))
+        own, n_times = np.unique(np.concatenate(parts), return_counts=True)
+        keys.append(own)
+        times.append(n_times)
+    key, inv = np.unique(np.concatenate(keys), return_inverse=True)
+    n_times = np.bincount(inv, weights=np.concatenate(times), minlength=len(key))
+    owner, code = (key >> U(32)).astype(np.int64), key.astype(np.uint32)
+    owners, codes = (np.concatenate(x) for x in zip(*((owner[n_times >= level], code[n_times >= level] + np.uint32(level)) for level in LEVELS), strict=True))
+    order = np.argsort(owners, kind="stable")
+    return owners[order], codes[order]
+
+
+def _by_text(n: int, owner: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
+    cut = np.searchsorted(owner, np.arange(n + 1))
+    return [codes[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _found(sorted_: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which codes are among the sorted ones, and their places there."""
+    if not len(sorted_):
+        return np.zeros(len(codes), bool), np.zeros(len(codes), np.int64)
+    at = np.minimum(np.searchsorted(sorted_, codes), len(sorted_) - 1)
+    return sorted_[at] == codes, at
+
+
+def mined_votes(n: int, owner: np.ndarray, codes: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    """The last voter's votes on n texts of (owner, codes): 1 for two codes of the lexicon, -1 for none, 0 for one or an empty lexicon or text."""
+    hits = np.bincount(owner[_found(lexicon, codes)[0]], minlength=n)
+    out = np.where(hits > 1, 1, np.where(hits == 1, 0, -1))
+    return np.where(np.bincount(owner, minlength=n) > 0, out, 0) if len(lexicon) else np.zeros(n, int)
 
 
 def without_rare(rows: list[Row], least: int = MINED_LEAST) -> list[Row]:
@@ -164,10 +225,7 @@ def mine(rows: list[Row]) -> np.ndarray:
 
 
 def mined_vote(words: np.ndarray, lexicon: np.ndarray) -> int:
-    if not len(lexicon) or not len(words):
-        return 0
-    hits = int((lexicon[np.minimum(np.searchsorted(lexicon, words), len(lexicon) - 1)] == words).sum())
-    return 1 if hits >= 2 else 0 if hits else -1
+    return int(mined_votes(1, np.zeros(len(words), np.int64), words, lexicon)[0])
 
 
 def train_row() -> Column:
@@ -175,7 +233,11 @@ def train_row() -> Column:
 
 
 class LabelModel:
-    """P(class) and P(vote | class, voter); weights discount voters that are correlated within a class."""
+    """P(class) and P(vote | class, voter) of VOTERS and the given labels.
+
+    accuracies: of each voter, the probability that a vote of it is right. weights switch off voters whose accuracy is not above that of a constant
+    vote for the class they speak for, and discount voters that are correlated within a class.
+    """
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, balance: float):
         self.patterns, self.counts = patterns, counts.astype(float)
@@ -183,18 +245,30 @@ class LabelModel:
         self.weights = np.ones(m)
         self.balance = balance
         start = np.clip((patterns.clip(0).sum(1) - 0.5), -1, 1)
-        self._fit(np.where(start > 0, 0.95, 0.02))
+        start = np.where(start > 0, 0.95, 0.02)
+        self._fit(np.where(patterns[:, -1] != 0, (patterns[:, -1] + 1) / 2, start))
+        first, chance = self._accuracies()
         self.correlations = self._correlations()
-        self.weights = 1 / (1 + np.maximum(self.correlations - 0.1, 0).sum(1))
+        self.weights = (first > chance) / (1 + np.maximum(self.correlations - 0.1, 0).sum(1))
+        self.weights[-1] = 1.0
         self._fit(self.posterior(patterns))
-        hit = self.table[1, :, 2] * self.balance + self.table[0, :, 2] * (1 - self.balance)
-        self.accuracies = self.table[1, :, 2] * self.balance / np.maximum(hit, 1e-12)
+        self.accuracies, _ = self._accuracies()
+
+    def _accuracies(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each voter: probability that a vote is right, and that of as many votes for its classes at random."""
+        prior = np.array([1 - self.balance, self.balance])
+        joint = self.table * prior[:, None, None]  # class, voter, vote
+        clean, toxic = joint[:, :, 0].sum(0), joint[:, :, 2].sum(0)
+        cast = np.maximum(clean + toxic, 1e-12)
+        return (joint[0, :, 0] + joint[1, :, 2]) / cast, (clean * prior[0] + toxic * prior[1]) / cast
 
     def _fit(self, q: np.ndarray, rounds: int = 30) -> None:
         for _ in range(rounds):
             by = np.stack([1 - q, q]) * self.counts
             self.table = np.stack([[[(by[c] * (self.patterns[:, k] == v)).sum() + 0.5 for v in (-1, 0, 1)] for k in range(self.patterns.shape[1])] for c in (0, 1)])
             self.table /= self.table.sum(2, keepdims=True)
+            cast = 1 - self.table[:, -1, 1].mean()
+            self.table[:, -1] = [[cast * TRUST, 1 - cast, cast * (1 - TRUST)], [cast * (1 - TRUST), 1 - cast, cast * TRUST]]
             self.balance = float(np.clip(0.5 * self.balance + 0.5 * by[1].sum() / max(by.sum(), 1e-9), 1e-3, 0.5))
             q = self.posterior(self.patterns)
 
@@ -224,15 +298,17 @@ class Classifier:
         self.vote_weights, self.codes, self.word_weights, self.intercept = vote_weights, codes[order], word_weights[order], intercept
 
     def margin(self, vote: list[int], words: np.ndarray) -> float:
-        z = self.intercept + float(np.dot(self.vote_weights, vote))
-        if len(self.codes) and len(words):
-            at = np.minimum(np.searchsorted(self.codes, words), len(self.codes) - 1)
-            z += float(self.word_weights[at][self.codes[at] == words].sum())
-        return z
+        return float(self.margins(np.array([vote]), np.zeros(len(words), np.int64), words)[0])
+
+    def margins(self, vote: np.ndarray, owner: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        hit, at = _found(self.codes, codes)
+        return self.intercept + vote @ self.vote_weights + np.bincount(owner[hit], weights=self.word_weights[at[hit]], minlength=len(vote))
 
-    def score(self, text: str | None) -> float:
-        words = word_codes(text)
-        return float(1 / (1 + np.exp(-np.clip(self.margin([*votes(text), mined_vote(words, self.lexicon)], words), -30, 30))))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        owner, codes = coded(texts)
+        vote = np.array([votes(t) for t in texts], float).reshape(len(texts), len(VOTERS) - 1)
+        vote = np.concatenate([vote, mined_votes(len(texts), owner, codes, self.lexicon)[:, None]], 1)
+        return 1 / (1 + np.exp(-np.clip(self.margins(vote, owner, codes), -30, 30)))
 
 
 def fit_classifier(rows: list[Row], posterior: np.ndarray, weight: np.ndarray, lexicon: np.ndarray, folds: int = 3) -> Classifier:
@@ -257,7 +333,7 @@ def fit_classifier(rows: list[Row], posterior: np.ndarray, weight: np.ndarray, l
 
 def _descend(rows: list[Row], posterior: np.ndarray, weight: np.ndarray, lexicon: np.ndarray, rounds: int = 400) -> Classifier:
     """Weighted full-batch descent with a step per weight (sums of squared slopes)."""
-    target = np.array([p if y is None else 0.25 * p + 0.75 * y for p, (_, _, y) in zip(posterior, rows, strict=True)])
+    target = posterior
     weight = weight / weight.sum()
     flat = np.concatenate([w for _, w, _ in rows])
     owner = np.repeat(np.arange(len(rows)), [len(w) for _, w, _ in rows])
@@ -294,11 +370,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[LabelModel, Classifier]:
     strata = [known.filter(F.col("toxic").eqNullSafe(y)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in rooms.items()]
     sample = strata[0].union(strata[1]).union(strata[2])
 
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"].astype("Int32"), "votes": [spell(votes(t)) for t in b["text"]], "words": [word_codes(t).tobytes() for t in b["text"]]})
+            texts = b["text"].tolist()
+            words = _by_text(len(texts), *coded(texts))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"].astype("Int32"), "votes": [spell(votes(t)) for t in texts], "words": [w.tobytes() for w in words]})
 
-    own = train.join(F.broadcast(sample), "doc_id").mapInPandas(coded, "doc_id long, toxic int, votes string, words binary")
+    own = train.join(F.broadcast(sample), "doc_id").mapInPandas(sampled, "doc_id long, toxic int, votes string, words binary")
     got = sorted({r["doc_id"]: r for r in own.toLocalIterator()}.values(), key=lambda r: r["doc_id"])
     rows = without_rare([(read(r["votes"]), np.frombuffer(r["words"], np.uint32), r["toxic"]) for r in got])
     del got
@@ -308,20 +386,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[LabelModel, Classifier]:
 
     def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"votes": [spell([*votes(t), mined_vote(word_codes(t), shared.value)]) for t in b["text"]]})
+            texts = b["text"].tolist()
+            mined = mined_votes(len(texts), *coded(texts), shared.value).tolist()
+            yield pd.DataFrame({"doc_id": b["doc_id"], "votes": [spell([*votes(t), m]) for t, m in zip(texts, mined, strict=True)]})
 
-    counts = train.select("text").mapInPandas(voted, "votes string").groupBy("votes").count().orderBy("votes").collect()
+    voted_ = train.mapInPandas(voted, "doc_id long, votes string").join(given, "doc_id", "left")
+    counts = voted_.groupBy("votes", "toxic").count().orderBy("votes", "toxic").collect()
     if not counts or not rows:
-        model = LabelModel(np.zeros((1, len(VOTERS)), int), np.ones(1), 0.05)
+        model = LabelModel(np.zeros((1, len(VOTERS) + 1), int), np.ones(1), 0.05)
         return model, Classifier(np.ones(len(VOTERS)), np.empty(0, np.uint32), np.empty(0), -2.0, lexicon)
     labelled = sizes.get(0, 0) + sizes.get(1, 0)
     balance = sizes.get(1, 0) / labelled if labelled else 0.05
-    model = LabelModel(np.array([read(r["votes"]) for r in counts]), np.array([r["count"] for r in counts]), float(np.clip(balance, 0.005, 0.5)))
-    posterior = model.posterior(np.array([x for x, _, _ in rows]))
+    model = LabelModel(np.array([[*read(r["votes"]), _label_vote(r["toxic"])] for r in counts]), np.array([r["count"] for r in counts]), float(np.clip(balance, 0.005, 0.5)))
+    posterior = model.posterior(np.array([[*x, _label_vote(y)] for x, _, y in rows]))
     weight = np.array([max(1.0, sizes.get(y, 0) / rooms[y]) for _, _, y in rows])
     return model, fit_classifier(rows, posterior, weight, lexicon)
 
 
+def _label_vote(toxic: int | None) -> int:
+    return 0 if toxic is None else 1 if toxic else -1
+
+
 def spell(vote: list[int]) -> str:
     return "".join("nap"[v + 1] for v in vote)
 
@@ -337,7 +422,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            s = [model.value.score(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "score": s, "predicted": [int(x >= THRESHOLD) for x in s]})
+            for lo in range(0, len(b), 500):
+                part = b.iloc[lo : lo + 500]
+                s = model.value.scores(part["text"].tolist())
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"], "score": s, "predicted": (s >= THRESHOLD).astype(int)})
 
     return docs.select("doc_id", held.alias("held_out"), "text").mapInPandas(rows, "doc_id long, held_out boolean, score double, predicted int")
