@@ -5,7 +5,7 @@
    more voter of the label model (``given``), of accuracy TRUST, which abstains where there is none.
 2. Label model: a generative model of the votes given a hidden class, fitted by EM on the counts of all vote patterns of the
    training documents (each document counts). Voters that turn out no more accurate than the class balance are switched off, and correlations of
-   voters within a class, estimated from the first fit, lower the weight of correlated voters in the second. The share of toxic labels among the
+   voters within a class, estimated from a fit, lower the weight of correlated voters in the next. The share of toxic labels among the
    training labels starts the class balance.
 3. Classifier: logistic regression on the label model's posteriors, and nothing else, of at most TRAIN_ROWS
    documents in three strata (toxic, clean, unlabelled), weighted back to their sizes; features are the text's votes and counts of up to
@@ -39,6 +39,8 @@ from siteweave.llm.bytehash import BASE, BYTE, INVERSE, U, mix, powers
 TRAIN_ROWS, VOCABULARY, THRESHOLD = 8000, 3000, 0.3
 #: Accuracy of the given labels; those of all other voters are estimated.
 TRUST = 0.999
+#: Rounds of estimating correlations and fitting again.
+ROUNDS = 4
 #: Mined lexicon: at least so many toxic documents with the code, and so many times as common there as in clean ones.
 MINED_LEAST, MINED_RATIO, MINED = 6, 12.0, 1000
 #: Lengths in bytes of word beginnings, and the counts at which a code makes a further feature.
@@ -247,11 +249,12 @@ class LabelModel:
         start = np.clip((patterns.clip(0).sum(1) - 0.5), -1, 1)
         start = np.where(start > 0, 0.95, 0.02)
         self._fit(np.where(patterns[:, -1] != 0, (patterns[:, -1] + 1) / 2, start))
-        first, chance = self._accuracies()
-        self.correlations = self._correlations()
-        self.weights = (first > chance) / (1 + np.maximum(self.correlations - 0.1, 0).sum(1))
-        self.weights[-1] = 1.0
-        self._fit(self.posterior(patterns))
+        for _ in range(ROUNDS):  # a copied voter stands out only once it weighs less
+            right, chance = self._accuracies()
+            self.correlations = self._correlations()
+            self.weights = (right > chance) / (1 + np.maximum(self.correlations - 0.1, 0).sum(1))
+            self.weights[-1] = 1.0
+            self._fit(self.posterior(patterns))
         self.accuracies, _ = self._accuracies()
 
     def _accuracies(self) -> tuple[np.ndarray, np.ndarray]:
