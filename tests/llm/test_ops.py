@@ -10,7 +10,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siteweave.llm import decontaminate, html_main, jaccard_join, language_id, line_dedup, pieces, quality_rules, queries, suffix_dedup, toxicity, url_filter
+from siteweave.llm import decontaminate, html_main, jaccard_join, language_id, line_dedup, pieces, quality_rules, queries, suffix_dedup, toxicity, url_filter, url_table
 from test_oracle import compare, duck  # noqa: F401
 
 CLASHES = "gone string, found string, found_id int, sig long, grp int, n int, size int, seed long, h int, at int, item_id int, open int, packed int, votes string, toxic int, quality int, host string, bins int, score double, key int, root long"
@@ -695,3 +695,24 @@ def test_html_takes_linear_time(page):
     began = time.process_time()
     html_main.extract(page)
     assert time.process_time() - began < 20
+
+
+def test_url_classifier_on_held_out_rows(spark):
+    import zlib
+
+    rows = url_table.rows()
+    assert len(set(rows)) > 5000 and rows == url_table.rows()
+    held = [r for r in rows if zlib.crc32(r[0].encode()) % 5 == 0]
+    model = url_filter.train(tuple(r for r in rows if zlib.crc32(r[0].encode()) % 5))
+    got = url_filter.filter_urls(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string"), rules=(), model=model).collect()
+    blocked = {r["page_id"] for r in got if r["verdict"] == "block"}
+    right = sum(held[i][1] for i in blocked)
+    assert right >= 0.97 * len(blocked) and right >= 0.88 * sum(y for _, y in held)
+
+
+def test_urls_of_ordinary_sites(spark):
+    ordinary = [None, "", "no scheme", "https://github.com/apache/spark", "https://en.wikipedia.org/wiki/Suffix_array", "https://www.cheapflights.com/", "http://freedom.net/", "https://www.bbc.co.uk/news/world-123", "https://docs.python.org/3/library/re.html", "https://www.essex.ac.uk/", "https://spark.apache.org/docs/latest/"]
+    unwanted = ["https://gambling.example/roulette", "http://porn.example/video", "https://bet365.example/sports", "https://cheap-pills.example/buy"]
+    rows = [(i, u) for i, u in enumerate([*ordinary, *unwanted])]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=()).collect()}
+    assert [got[i] for i, _ in rows] == ["allow"] * len(ordinary) + ["block"] * len(unwanted)
