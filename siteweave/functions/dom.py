@@ -122,7 +122,8 @@ def link_title(e: Element) -> str:
     return e.text() or ("Form submission" if e.name == "form" else "")
 
 
-def link_description(e: Element, kind: str, title: str) -> str:
+def link_description(e: Element, kind: str, title: str, around: str) -> str:
+    """around: the text of the element's parent."""
     for attr in ("aria-label", "placeholder"):
         if e.attrs.get(attr):
             return e.attrs[attr].strip()
@@ -130,7 +131,6 @@ def link_description(e: Element, kind: str, title: str) -> str:
         method = e.attrs.get("method", "GET").upper()
         fields = [x.attrs.get("type", x.name) for x in e.walk() if x.name in ("input", "select", "textarea")][:3]
         return f"{method} form with: {', '.join(fields)}" if fields else f"{method} form"
-    around = e.parent.text() if e.parent is not None else ""
     return around if e.parent is not None and len(around) < 200 and around != title else ""
 
 
@@ -138,10 +138,11 @@ def _netloc(url: str) -> str:
     return urlsplit(url).netloc
 
 
-def links(html: str, base: str, known: frozenset[str] | set[str] = frozenset(), strict: bool = False) -> list[dict]:
-    """Accepted links of a page in order, with dense ids; the first element of an address stands, whatever is filtered later."""
+def links(html: str, base: str, known: frozenset[str] | set[str] = frozenset(), strict: bool = False, markup: bool = True) -> list[dict]:
+    """Accepted links of a page in order, with dense ids; the first element of an address stands, whatever is filtered later. Without markup, link_tag is empty."""
     out: list[dict] = []
     seen: set[str] = set()
+    around: dict[int, str] = {}  # text of each parent, made once
     try:
         for pos, (kind, href, e) in enumerate(_sources(parse(html))):
             if not href or href.startswith(SKIPPED):
@@ -154,12 +155,14 @@ def links(html: str, base: str, known: frozenset[str] | set[str] = frozenset(),
             if url in known or not (here == there or (not strict and "" in (here, there))):
                 continue
             title = link_title(e)
+            if e.parent is not None and id(e.parent) not in around:
+                around[id(e.parent)] = e.parent.text()
             parts = urlsplit(url)
             p = re.sub(r";[^/]*$", "", parts.path)
             out.append(
                 {
                     "link_id": len(out), "pos": pos, "kind": kind, "href": href, "url": url, "relative_path": p + (f"?{parts.query}" if parts.query else ""), "title": title[:100],
-                    "description": link_description(e, kind, title)[:200], "link_text": e.text()[:100], "link_tag": e.markup(),
+                    "description": link_description(e, kind, title, around.get(id(e.parent), ""))[:200], "link_text": e.text()[:100], "link_tag": e.markup() if markup else "",
                 }
             )
     except Exception:  # a page that can't be read has no links
@@ -167,6 +170,34 @@ def links(html: str, base: str, known: frozenset[str] | set[str] = frozenset(),
     return out
 
 
+def _raw(e: Element, skip: tuple[str, ...] = ()) -> str:
+    """All text nodes below an element as they are."""
+    parts, todo = [], list(reversed(e.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            parts.append(c)
+        elif c.name not in skip:
+            todo += reversed(c.children)
+    return "".join(parts)
+
+
+def content(html: str, limit: int = 3000) -> tuple[str, str, str]:
+    """Title, description and cleaned text of any page, as ``text.title``, ``text.description`` and ``text.page_text`` give them for regular markup."""
+    root = parse(html)
+    first: dict[str, Element] = {}
+    meta = ""
+    for e in root.walk():
+        first.setdefault(e.name, e)
+        if e.name == "meta" and not meta and e.attrs.get("name", "").lower() == "description":
+            meta = e.attrs.get("content", "").strip()
+    title = _raw(first["title"]).strip() if "title" in first else ""
+    description = meta or (_raw(first["h1"]).strip() if "h1" in first else _raw(first["p"]).strip()[:200] if "p" in first else "")
+    pieces = (x.strip() for line in _raw(root, ("script", "style")).splitlines() for x in line.split("  "))
+    whole = " ".join(x for x in pieces if x)
+    return title, description, whole[:limit] + "..." if len(whole) > limit else whole
+
+
 def _has_class(part: str) -> Callable[[Element], bool]:
     return lambda e: part in e.attrs.get("class", "")
 

@@ -16,11 +16,18 @@ from siteweave.functions import text
 from siteweave.scratch import written
 
 
-def bfs(edges: DataFrame, roots: DataFrame, max_levels: int = 50) -> DataFrame:
-    """(site, url, parent_url, level, rank) of all urls reachable from roots(site, url); siblings in document order, the first discoverer is the parent."""
+#: Tables of levels that are read side by side before they are written as one.
+KEPT_TABLES = 16
+
+
+def bfs(edges: DataFrame, roots: DataFrame, max_levels: int = 1000) -> DataFrame:
+    """(site, url, parent_url, level, rank) of all urls reachable from roots(site, url); siblings in document order, the first discoverer is the parent.
+
+    The links are written once and read by each level. A graph with more levels than max_levels raises.
+    """
     level = written(roots.select("site", "url", F.lit(None).cast("string").alias("parent_url"), F.lit(0).alias("level"), F.lit(1).cast("int").alias("rank")))
     visited = level
-    links = edges.select("site", F.col("parent_url").alias("url"), F.col("url").alias("child"), "pos")
+    links = written(edges.select("site", F.col("parent_url").alias("url"), F.col("url").alias("child"), "pos"))
     for n in range(1, max_levels + 1):
         found = level.select("site", "url", "rank").join(links, ["site", "url"])
         first = Window.partitionBy("site", "child").orderBy("rank", "pos")
@@ -29,9 +36,11 @@ def bfs(edges: DataFrame, roots: DataFrame, max_levels: int = 50) -> DataFrame:
         order = Window.partitionBy("site").orderBy("rank", "pos", "url")
         level = written(fresh.select("site", "url", "parent_url", F.lit(n).alias("level"), F.row_number().over(order).cast("int").alias("rank")))
         if level.isEmpty():
-            break
+            return visited
         visited = visited.unionByName(level)
-    return visited
+        if n % KEPT_TABLES == 0:
+            visited = written(visited)
+    raise RuntimeError(f"more than {max_levels} levels")
 
 
 def within_budget(levels: DataFrame, max_pages: int) -> DataFrame:
@@ -40,6 +49,11 @@ def within_budget(levels: DataFrame, max_pages: int) -> DataFrame:
     return levels.withColumn("visit", F.row_number().over(w)).filter(F.col("visit") <= max_pages)
 
 
+def products_found(nodes: DataFrame) -> DataFrame:
+    """(site, product_name, url, found_by) of the nodes of a best-first walk that are products."""
+    return nodes.filter("found_by is not null").select("site", "product_name", "url", "found_by")
+
+
 NODE_SCHEMA = "site string, url string, parent_url string, depth int, score double, avg_score double, insert_seq long, pop_seq int, is_explored boolean, product_name string, found_by string"
 
 
@@ -147,8 +161,8 @@ def average(scores: Column) -> Column:
     return F.when(F.size(good) == 0, 0.0).otherwise(F.aggregate(good, F.lit(0.0), lambda a, x: a + x) / F.size(good))
 
 
-def tree_lines(nodes: DataFrame, max_levels: int = 50) -> DataFrame:
-    """(site, line_no, line) of the trees of nodes(site, url, path, parent_url, is_explored); a root has no parent."""
+def tree_lines(nodes: DataFrame, max_levels: int = 1000) -> DataFrame:
+    """(site, line_no, line) of the trees of nodes(site, url, path, parent_url, is_explored); a root has no parent. A tree deeper than max_levels raises."""
     stats = nodes.filter("parent_url is not null").groupBy("site", F.col("parent_url").alias("url")).agg(F.count("*").alias("total"), F.count_if("is_explored").alias("explored"))
     every = written(nodes.join(stats, ["site", "url"], "left").fillna(0, ["total", "explored"]))
     siblings = Window.partitionBy("site", "parent_url").orderBy("path")
@@ -163,6 +177,8 @@ def tree_lines(nodes: DataFrame, max_levels: int = 50) -> DataFrame:
         out = level.select("site", "key", "line") if out is None else out.union(level.select("site", "key", "line"))
         up = level.select("site", F.col("url").alias("parent_url"), F.concat("prefix", F.when(F.col("is_last"), "    ").otherwise("│   ")).alias("prefix"), "key")
         level = kids.join(up, ["site", "parent_url"]).withColumn("key", F.concat("key", F.array("path")))
+    else:
+        raise RuntimeError(f"a tree is deeper than {max_levels} levels")
     return out.select("site", F.row_number().over(Window.partitionBy("site").orderBy("key")).cast("int").alias("line_no"), "line")
 
 

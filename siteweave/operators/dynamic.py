@@ -40,16 +40,24 @@ def exhausted(links: DataFrame, triggers: DataFrame, known: DataFrame) -> DataFr
 
 
 def session(links: DataFrame, triggers: DataFrame, known: DataFrame, most_triggers: int = 20) -> DataFrame:
-    """All triggers of every page in order; what one finds is known to the next."""
-    ids = [r[0] for r in triggers.select("trigger_id").distinct().orderBy("trigger_id").limit(most_triggers + 1).collect()]
-    if len(ids) > most_triggers:
+    """All triggers of every page in the order of their ids; what one finds is known to the next. A page of more than most_triggers raises.
+
+    Links and triggers are written once; round n takes the n-th trigger of every page.
+    """
+    nth = F.row_number().over(Window.partitionBy("page_url").orderBy("trigger_id"))
+    ranked = written(dispatched(triggers).drop("step_limit").withColumn("nth", nth))
+    most = ranked.agg(F.max("nth")).first()[0] or 0
+    if most > most_triggers:
         raise ValueError(f"more than {most_triggers} triggers on a page")
+    fresh = links.filter("step > 0").join(known.select("page_url", "url").distinct(), ["page_url", "url"], "left_anti")
+    left = written(fresh.join(ranked.select("page_url", "trigger_id", "nth"), ["page_url", "trigger_id"]))
     out = None
-    for i in ids:
-        got = written(exhausted(links.filter(F.col("trigger_id") == i), triggers.filter(F.col("trigger_id") == i), known))
-        known = known.select("page_url", "url").union(got.select("page_url", "url"))
+    for n in range(1, most + 1):
+        # what the rounds before found is taken off this round's links only
+        own = left.filter(F.col("nth") == n)
+        got = written(exhausted(own, ranked.filter(F.col("nth") == n), (out if out is not None else left.limit(0)).select("page_url", "url")))
         out = got if out is None else out.union(got)
-    return out
+    return out if out is not None else exhausted(links, triggers, known).limit(0)
 
 
 def at_bottom(top: Column, client: Column, height: Column) -> Column:

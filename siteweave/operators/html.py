@@ -30,20 +30,31 @@ def first_in_page(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
 
-def dom_links(pages: DataFrame, strict: bool = False) -> DataFrame:
-    """All link kinds of arbitrary HTML, filtered and numbered per page; one pass in Arrow batches."""
+def dom_links(pages: DataFrame, strict: bool = False, markup: bool = True) -> DataFrame:
+    """All link kinds of arbitrary HTML, filtered and numbered per page; one pass in Arrow batches. Without markup, link_tag is empty and costs nothing."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, u, h in zip(b["page_id"], b["url"], b["html"], strict=True):
-                for x in dom.links(h or "", u or "", strict=strict):
+                for x in dom.links(h or "", u or "", strict=strict, markup=markup):
                     out.append((i, u, dom._netloc(u or ""), x["pos"], x["kind"], x["href"], x["url"], x["relative_path"], x["title"], x["link_text"], x["description"], x["link_tag"], x["link_id"]))
             yield pd.DataFrame(out, columns=[f.split()[0] for f in LINK_SCHEMA.split(", ")])
 
     return pages.select("page_id", "url", "html").mapInPandas(rows, LINK_SCHEMA)
 
 
+def dom_content(pages: DataFrame) -> DataFrame:
+    """page_content() for any markup: attributes in any order and case, every character reference, unclosed tags."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [dom.content(h or "") for h in b["html"]]
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], **{c: [x[k] for x in found] for k, c in enumerate(("title", "description", "text_content"))}})
+
+    return pages.select("page_id", "url", "html").mapInPandas(rows, "page_id long, url string, title string, description string, text_content string")
+
+
 def dynamic_elements(pages: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -16,6 +16,53 @@ NUMBER = r"^(BIGINT|DECIMAL.*|DOUBLE|FLOAT|INT|SMALLINT|TINYINT|BOOLEAN)$"
 WHOLE = r"^(BIGINT|INT|SMALLINT|TINYINT|BOOLEAN)$"
 
 
+#: Texts of the prompts (own wording; the reply format is fixed).
+SYSTEM_PROMPT = "You rate the links of a web page by how likely they lead to product pages. You answer with JSON and nothing else."
+INSTRUCTION = "Rate each link from 0 to 10: under 1 never leads to a product, 1 to 4 hardly, 4 to 8 is on the way, 8 to 9 probably is one, 9 and more is a product page, whose name you give."
+STRUCTURE = 'Answer with a JSON array with one object for each link: [{"id": 0, "score": 7.5}, {"id": 1, "score": 9.5, "productName": "Name"}].'
+#: Path parts that the offline rules know, with the score in thousandths of what follows them; the first that fits counts.
+RULES = ((r"/(?:p|product|products|item|items|dp)/[^/?]+", 9200), (r"/(?:b|c|category|categories|collection|collections|shop|catalog|brand|brands)(?:/|$)", 7000), (r"/(?:login|account|cart|checkout|privacy|terms|imprint|contact|about|help|jobs)(?:/|$)", 500))
+OTHERWISE = 4000
+
+
+def rules(links: DataFrame) -> DataFrame:
+    """links(url, title, ...) with milli and product_name by the offline rules: no model, no network, one projection."""
+    path, milli = F.lower(F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)), F.lit(OTHERWISE)
+    for pattern, score in reversed(RULES):
+        milli = F.when(path.rlike(pattern), score).otherwise(milli)
+    return links.withColumn("milli", milli.cast("int")).withColumn("product_name", F.when(F.col("milli") >= 9000, F.nullif(text.strip(F.col("title")), F.lit(""))))
+
+
+def prompt(links: list[dict]) -> str:
+    """Instruction for a scorer: the links' id, relative_path, title and description as JSON."""
+    import json
+
+    kept = [{k: x.get(k) for k in ("id", "relative_path", "title", "description")} for x in links]
+    return f"{INSTRUCTION}\n\n{json.dumps(kept, ensure_ascii=False)}"
+
+
+def system_prompt(path: str | None = None) -> str:
+    """The system prompt in a file, else SYSTEM_PROMPT."""
+    try:
+        return open(path, encoding="utf-8").read() if path else SYSTEM_PROMPT
+    except OSError:
+        return SYSTEM_PROMPT
+
+
+def ask(scorer: Scorer, links: list[dict], system: str = SYSTEM_PROMPT, attempts: int = 4) -> list[tuple[int, int, int, str]]:
+    """A live scorer's replies to the links of one page, as rows (key 0, attempt, expected_count, reply) for ``with_retry``; a call that raises counts as an attempt without answer."""
+    rows = []
+    for attempt in range(1, attempts + 1):
+        try:
+            reply = scorer.send(system, prompt(links), STRUCTURE)
+        except Exception:
+            reply = ""
+        rows.append((0, attempt, len(links), reply))
+        if reply:
+            break
+    return rows
+
+
 class Scorer(Protocol):
     """Anything that answers prompts: one reply text per (system, instruction, structure)."""
 

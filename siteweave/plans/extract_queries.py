@@ -76,6 +76,11 @@ def page_content(spark: SparkSession, d: str) -> DataFrame:
     return html.page_content(_pages(spark, d))
 
 
+@query(_CONTENT)
+def page_content_dom(spark: SparkSession, d: str) -> DataFrame:
+    return html.dom_content(_pages(spark, d))
+
+
 @query(f"select page_id, length(title) as title_chars, length(text_content) as text_chars from ({_CONTENT}) where title <> '' or text_content <> ''")
 def content_guard(spark: SparkSession, d: str) -> DataFrame:
     rows = html.page_content(_pages(spark, d)).filter("title <> '' or text_content <> ''")
@@ -200,7 +205,7 @@ def _sql_widgets(columns: str, kinds: tuple[str, ...] | None = None) -> str:
 
 
 def _dom(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
-    rows = html.dom_links(_widgets(spark, d))
+    rows = html.dom_links(_widgets(spark, d), markup=False)
     return rows.filter(F.col("source_kind").isin(*kinds)) if kinds else rows
 
 

@@ -9,7 +9,7 @@ from siteweave.functions import text, urls
 from siteweave.operators import crawl, products, scoring
 from siteweave.plans.registry import CATALOG, query
 from siteweave.scratch import folder
-from siteweave.sources.tables import catalog, edges, product_edges, walk_edges
+from siteweave.sources.tables import catalog, edges, product_edges, table, walk_edges
 
 
 def _roots(spark: SparkSession, d: str) -> DataFrame:
@@ -214,6 +214,38 @@ def best_first_crawl(spark: SparkSession, d: str) -> DataFrame:
     return _walked(spark, d).filter("pop_seq is not null").select("site", "url", "parent_url", "pop_seq", F.round("avg_score", 6).alias("avg_score"))
 
 
+#: Pages of a guided crawl.
+GUIDED = 30
+
+
+@query(f"""with {CATALOG}, nodes as (
+  select site, base || '/' as url, 100.0::double as a, 0 as bn, -2 as r, 0 as leaf, 0 as m, 0 as pos, false as hit, null::varchar as name from pairs group by all
+  union all select site, url, milli / 1000.0, bn, r, 0, 0, 0, false, null from wedges where r = -1
+  union all select site, url, (milli + 7999 - 20 * bn) / 2000.0, bn, r, 0, 0, 0, false, null from wedges where r >= 0
+  union all select site, url, (11999 + 30 * bn + 7 * r) / 2000.0, bn, r, 1, milli, pos, partkey % 20 = 1 and frag = 0, title from pedges where milli >= 1000 and milli < 9000),
+seen as (select *, (row_number() over w - 1)::int as pop_seq, coalesce(sum(case when hit then 0 else 1 end) over (w rows between unbounded preceding and 1 preceding), 0) as used
+  from nodes window w as (partition by site order by a desc, bn, r, leaf, m desc, pos)),
+popped as (select * from seen where used < {GUIDED})
+select site, url, pop_seq, case when hit then 'verify' end as found_by, case when hit then name end as product_name from popped
+union all select e.site, e.url, null, 'link', e.product_name from pedges e join popped p on p.site = e.site and p.url = e.parent_url where e.milli >= 9000""")
+def guided_crawl(spark: SparkSession, d: str) -> DataFrame:
+    """The whole guided crawl over the catalogue: bands, best-first order, verification of popped pages, products of links."""
+    nodes = crawl.best_first(edges(spark, d), _roots(spark, d), GUIDED, _verdicts(spark, d))
+    return nodes.filter("pop_seq is not null or found_by is not null").select("site", "url", "pop_seq", "found_by", "product_name")
+
+
+@query("""select page_id, url, case when regexp_matches(lower(p), '/(?:p|product|products|item|items|dp)/[^/?]+') then 9200 when regexp_matches(lower(p), '/(?:b|c|category|categories|collection|collections|shop|catalog|brand|brands)(?:/|$)') then 7000
+  when regexp_matches(lower(p), '/(?:login|account|cart|checkout|privacy|terms|imprint|contact|about|help|jobs)(?:/|$)') then 500 else 4000 end as milli,
+  case when regexp_matches(lower(p), '/(?:p|product|products|item|items|dp)/[^/?]+') then 'Part ' || page_id end as product_name
+from (select p_partkey as page_id, case p_partkey % 6 when 0 then '/p/' || p_partkey when 1 then '/Shop' when 2 then '/about/us' when 3 then '/products/' when 4 then '/x?p=/p/1' else '/brand/b' end as u,
+  'https://s.test' || u as url, regexp_extract(u, '^[^?#]*') as p from part)""")
+def score_rules(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 6
+    path = F.when(k == 0, F.concat(F.lit("/p/"), "p_partkey")).when(k == 1, "/Shop").when(k == 2, "/about/us").when(k == 3, "/products/").when(k == 4, "/x?p=/p/1").otherwise("/brand/b")
+    links = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://s.test"), path).alias("url"), F.concat(F.lit("Part "), "p_partkey").alias("title"))
+    return scoring.rules(links).select("page_id", "url", "milli", "product_name")
+
+
 @query(f"""with {CATALOG}, {_WALK} select p.site, 'https://' || p.site || '/' as base_url, p.site as domain, count(*) filter (pop_seq < {BUDGET}) as pages_processed,
   count(*) filter (r = -2 or r = -1 or parent_url in (select url from popped b where b.site = p.site and b.pop_seq < {BUDGET})) as total_nodes
 from popped p group by p.site""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,13 +13,17 @@ _local: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary one only where that is unset (single-machine sessions)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A fresh folder of this application below spark.checkpoint.dir. Only a local session may leave that unset; a temporary folder stands in until the process ends."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="siteweave-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
         root = _local[0]
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{context.applicationId}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:

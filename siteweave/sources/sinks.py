@@ -37,6 +37,23 @@ def save_site(products: list[dict], pages_processed: int, total_nodes: int, base
     Path(path).write_text(json.dumps(body, indent=2, ensure_ascii=False), encoding="utf-8")
 
 
+def clean_results(path: str, output: str | None = None) -> str:
+    """Rewrite a result file without duplicate products (same name and main url; the one without a fragment stays); returns the path written.
+
+    Without output the file's name gets _cleaned before its suffix. A file without products is copied as it is; a missing file or bad JSON raises.
+    """
+    body = json.loads(Path(path).read_text(encoding="utf-8"))
+    target = Path(output) if output else Path(path).with_name(f"{Path(path).stem}_cleaned{Path(path).suffix}")
+    kept: dict[tuple[str, str], dict] = {}
+    for x in body.get("products") or []:
+        key = (x.get("productName"), (x.get("url") or "").split("#")[0])
+        have = kept.get(key)
+        if have is None or ("#" in (x.get("url") or ""), x.get("url") or "") < ("#" in (have.get("url") or ""), have.get("url") or ""):
+            kept[key] = x
+    target.write_text(json.dumps({**body, "products": list(kept.values())}, indent=2, ensure_ascii=False), encoding="utf-8")
+    return str(target)
+
+
 def write_tree(lines: DataFrame, path: str) -> None:
     """Tree lines(site, line_no, line) as text, in order within each site; a folder a site."""
     ordered = lines.repartition("site").sortWithinPartitions("site", "line_no").select("site", F.col("line").alias("value"))

@@ -99,3 +99,81 @@ def test_streaming_links(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["url"] for r in spark.table("found").collect()) == ["https://s.test/a", "https://s.test/b"]
+
+
+def test_command_with_rules_dynamic_loading_and_bfs(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.chdir(tmp_path)
+    paths = {n: str(tmp_path / n) for n in ("pages", "snapshots", "triggers", "verdicts")}
+    spark.createDataFrame([(1, "https://s.test", '<a href="/p/1">One</a><a href="/shop">Shop</a><a href="/about">no</a>'), (2, "https://s.test/shop", '<a href="/p/2">Two</a>')], "page_id long, url string, html string").write.parquet(paths["pages"])
+    spark.createDataFrame([("https://s.test", 1, 1, '<a href="/shop">x</a><a href="/p/3">y</a><a href="/c/8">z</a>'), ("https://s.test", 1, 2, '<a href="/p/3">y</a>')], "url string, trigger_id int, step int, html string").write.parquet(paths["snapshots"])
+    spark.createDataFrame([("https://s.test", 1, "Load More")], "page_url string, trigger_id int, trigger_type string").write.parquet(paths["triggers"])
+    spark.createDataFrame([("https://s.test/none", "None")], "url string, product_name string").write.parquet(paths["verdicts"])
+    (tmp_path / "t.json").write_text('{"url": "https://s.test/", "output": "out.json"}')
+    (tmp_path / "d.json").write_text('{"url": "https://s.test/", "output": "dyn.json", "enable_dynamic_loading": true, "ai_provider": "openai"}')
+    assert main(["t.json", "--pages", paths["pages"], "--verdicts", paths["verdicts"]]) == 0
+    assert "1. One: https://s.test/p/1" in capsys.readouterr().out
+    assert [p["url"] for p in json.loads((tmp_path / "out.json").read_text())["products"]] == ["https://s.test/p/1", "https://s.test/p/2"]
+    more = ["--snapshots", paths["snapshots"], "--triggers", paths["triggers"]]
+    assert main(["d.json", "--pages", paths["pages"], "--walk", "bfs", *more]) == 0
+    assert [x.split("s.test")[1] for x in capsys.readouterr().out.split()[1::2]] == ["", "/p/1", "/shop", "/about", "/p/3", "/c/8", "/p/2"]
+    assert main(["d.json", "--pages", paths["pages"], *more]) == 0
+    assert json.loads((tmp_path / "dyn.json").read_text())["total_nodes"] == 7
+    assert main(["d.json", "--pages", paths["pages"]]) == 0
+
+
+def test_depth_limits_raise(spark):
+    edges = spark.createDataFrame([("s", f"u{i}", f"u{i + 1}", 0) for i in range(4)], "site string, parent_url string, url string, pos int")
+    roots = spark.createDataFrame([("s", "u0")], "site string, url string")
+    assert crawl.bfs(edges, roots).count() == 5
+    with pytest.raises(RuntimeError, match="more than 3 levels"):
+        crawl.bfs(edges, roots, 3)
+    nodes = spark.createDataFrame([("s", f"u{i}", f"/{i}", f"u{i - 1}" if i else None, False) for i in range(5)], "site string, url string, path string, parent_url string, is_explored boolean")
+    assert crawl.tree_lines(nodes).count() == 5
+    with pytest.raises(RuntimeError, match="deeper"):
+        crawl.tree_lines(nodes, 2)
+
+
+def test_trigger_limit_is_per_page(spark):
+    snaps = spark.createDataFrame([(f"https://h.test/{i}", i, 1, f'<a href="/x{i}">x</a>') for i in range(25)], "url string, trigger_id int, step int, html string")
+    triggers = spark.createDataFrame([(f"https://h.test/{i}", i, "Tabs") for i in range(25)], "page_url string, trigger_id int, trigger_type string")
+    none = spark.createDataFrame([], "page_url string, url string")
+    assert dynamic.session(dynamic.snapshot_links(snaps), triggers, none).count() == 25
+    many = spark.createDataFrame([("https://h.test/0", i, "Tabs") for i in range(25)], triggers.schema)
+    with pytest.raises(ValueError, match="more than 20"):
+        dynamic.session(dynamic.snapshot_links(snaps), many, none)
+    assert dynamic.session(dynamic.snapshot_links(snaps), triggers.limit(0), none).count() == 0
+
+
+def test_live_scorer_and_prompts():
+    class Fake:
+        calls = 0
+
+        def send(self, system, instruction, structure=None, max_tokens=4000):
+            self.calls += 1
+            if self.calls == 1:
+                raise TimeoutError
+            return '[{"id": 0, "score": 9.5, "productName": "P"}]'
+
+    rows = scoring.ask(Fake(), [{"id": 0, "relative_path": "/p/é", "title": "P", "description": "", "url": "no"}])
+    assert rows == [(0, 1, 1, ""), (0, 2, 1, '[{"id": 0, "score": 9.5, "productName": "P"}]')]
+    assert "/p/é" in scoring.prompt([{"id": 0, "relative_path": "/p/é"}]) and scoring.system_prompt("/no/such") == scoring.SYSTEM_PROMPT
+
+
+def test_clean_results(tmp_path):
+    from siteweave import clean_results
+
+    f = tmp_path / "r.json"
+    f.write_text(json.dumps({"products": [{"productName": "P", "url": "u#a"}, {"productName": "P", "url": "u"}, {"productName": "Q", "url": "u"}], "domain": "d"}))
+    body = json.loads(open(clean_results(str(f))).read())
+    assert body == {"products": [{"productName": "P", "url": "u"}, {"productName": "Q", "url": "u"}], "domain": "d"}
+    f.write_text('{"products": []}')
+    assert json.loads(open(clean_results(str(f), str(tmp_path / "x.json"))).read()) == {"products": []}
+
+
+def test_content_of_odd_markup(spark):
+    from siteweave.operators import html
+
+    page = "<TITLE lang=en>A &eacute; &#x2014; B</TITLE><META content='de&amp;s' NAME=Description><h1>H</h1><p>x  y<script>no</script>"
+    r = html.dom_content(spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", "<h1>H <b>i</b></h1><p>z")], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert (r[0]["title"], r[0]["description"], r[0]["text_content"]) == ("A é — B", "de&s", "A é — BHx y")
+    assert tuple(r[1])[2:] == ("", "", "") and r[2]["description"] == "H i"
