@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteweave.scratch import written as durable  # noqa: F401
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,26 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (a single-machine test session) a temporary folder stands in.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(scratch, "fallback", None)
-        if root is None:
-            root = scratch.fallback = tempfile.mkdtemp(prefix="siteweave-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (in any case)."""
     taken = {c.lower() for c in df.columns}
@@ -60,15 +39,6 @@ def partitions(spark: SparkSession, size: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
 
 
-#: Input bytes that one group of documents stands for, and the least number of groups.
-GROUP_BYTES, LEAST_GROUPS = 16 << 20, 16
-
-
-def groups(docs: DataFrame) -> int:
-    """Number of groups to deal documents to, by the counted bytes of their texts."""
-    return max(LEAST_GROUPS, -(-text_bytes(docs) // GROUP_BYTES))
-
-
 #: Size of the filters below; full ones let more pass, they never lose a key.
 FILTER_BITS = 1 << 26
 

@@ -716,3 +716,23 @@ def test_urls_of_ordinary_sites(spark):
     rows = [(i, u) for i, u in enumerate([*ordinary, *unwanted])]
     got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=()).collect()}
     assert [got[i] for i, _ in rows] == ["allow"] * len(ordinary) + ["block"] * len(unwanted)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_awkward_tables(spark, tmp_path, empty):
+    docs = awkward(spark)
+    labels, bench = tables(spark, docs)
+    long = " ".join(f"word{i}" for i in range(60))
+    more = spark.createDataFrame([(20, long, "en", "s", 1), (21, long, "en", "s", 1), (22, long + " z", "en", "s", 1), (None, long + " y", "en", "s", 1)], DOCS)
+    docs = docs.unionByName(more, allowMissingColumns=True)
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        (df.limit(0) if empty else df).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if empty:
+        assert rows == []
+    else:
+        ids = [r["doc_id"] for r in rows]
+        assert 20 in ids and not {1, 2, 7, 8, 11, 21, 22} & set(ids) and all(r["round_trip"] for r in rows)
+    stage = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        assert f(spark, stage, str(tmp_path)).columns == stage.columns
