@@ -219,9 +219,13 @@ CANDIDATES: tuple[tuple[str, Callable[[Element], bool]], ...] = (
 def candidates(html: str) -> list[dict]:
     """Elements that may load content: selector by selector, equal elements once, those without any identification left out."""
     every, seen, out = list(parse(html).walk()), set(), []
+    met: set[int] = set()  # elements that a selector before has hit: their markup is made once
     for _, hit in CANDIDATES:
         for e in every:
-            if not hit(e) or (key := e.markup()) in seen:
+            if not hit(e) or id(e) in met:
+                continue
+            met.add(id(e))
+            if (key := e.markup()) in seen:
                 continue
             seen.add(key)
             row = {
