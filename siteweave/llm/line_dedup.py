@@ -139,3 +139,16 @@ def digest(docs: DataFrame, rule: Rule = pairs) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "n_lines", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
 
     return joined.mapInPandas(rows, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+
+
+def oracle(docs: str = "documents") -> str:
+    """DuckDB SQL of digest() by ``pairs``: both lines of each two that stand in the same order at an earlier place go."""
+    return f"""
+with d as (select row_number() over () as rn, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from {docs}),
+l as (select rn, doc_id, unnest(ls) as line, unnest(range(len(ls))) as no from d),
+pairs as (select *, lead(line) over (partition by rn order by no) as after from l),
+copies as (select rn, no from (select rn, no, rank() over (partition by line, after order by doc_id, no) as k from pairs where after is not null and doc_id is not null) where k > 1),
+gone as (select rn, no from copies union select rn, no + 1 from copies)
+select l.doc_id, count(*)::bigint as n_lines, count(gone.no)::bigint as n_removed,
+  sha256(coalesce(string_agg(l.line, chr(10) order by l.no) filter (gone.no is null), '')) as kept_sha256
+from l left join gone on gone.rn = l.rn and gone.no = l.no group by l.rn, l.doc_id"""

@@ -55,4 +55,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard_join": jaccard_join.oracle(4, 85), "op7_url_filters": url_filter.oracle(), "op10_benchmark_decontamination": decontaminate.oracle()}
+    return {
+        "op1_suffix_array_dedup": suffix_dedup.oracle(),
+        "op5_ngram_jaccard_join": jaccard_join.oracle(4, 85),
+        "op7_url_filters": url_filter.oracle(),
+        "op8_line_dedup": line_dedup.oracle(),
+        "op10_benchmark_decontamination": decontaminate.oracle(),
+    }

@@ -340,3 +340,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         pending = state.filter("packed is not null")
         ranked_from, texts = pending.select("id", "hash", "packed", "open"), pending.select("doc_id", "id", "hash", "packed", "ranges")
     return done
+
+
+def oracle(length: int = LENGTH, docs: str = "documents") -> str:
+    """DuckDB SQL of remove_repeats(): all strings of the length, the places after the first of each, and what they cover."""
+    return f"""
+with d as (select row_number() over () as rn, doc_id, coalesce(doc_id, 9223372036854775807) as id, encode(coalesce(text, '')) as b from {docs}),
+u as (select row_number() over (order by id, md5(b)) as n, id, b from (select distinct id, b from d)),
+x as (select n, id, s, b[s + 1:s + {length}] as x from (select n, id, b, unnest(range(0, greatest(octet_length(b) - {length - 1}, 0))) as s from u)),
+late as (select n, s from (select n, s, row_number() over (partition by x order by id, n, s) as k from x) where k > 1),
+marked as (select n, s, case when s > coalesce(lag(s) over (partition by n order by s) + {length}, -1) then 1 else 0 end as begins from late),
+runs as (select n, min(s) as a, max(s) + {length} as z from (select n, s, sum(begins) over (partition by n order by s) as run from marked) group by n, run),
+ends as (select n, a, z from runs union all select n, octet_length(b), octet_length(b) from u),
+parts as (select e.n, e.a, u.b[coalesce(lag(e.z) over (partition by e.n order by e.a, e.z), 0) + 1:e.a] as part from ends e join u on u.n = e.n),
+kept as (select n, sha256(unhex(string_agg(hex(part), '' order by a))) as kept_sha256 from parts group by n),
+gone as (select n, sum(z - a)::bigint as n_removed, count(*) as n_spans from runs group by n)
+select d.doc_id, octet_length(d.b)::bigint as n_bytes, coalesce(gone.n_removed, 0)::bigint as n_removed, coalesce(gone.n_spans, 0)::bigint as n_spans, kept.kept_sha256
+from d join u on u.id = d.id and u.b = d.b join kept on kept.n = u.n left join gone on gone.n = u.n"""

@@ -185,6 +185,13 @@ def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return owners[order], codes[order]
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """Batches a few rows at a time, which bounds the arrays of their codes."""
+    for b in batches:
+        for lo in range(0, len(b), rows):
+            yield b.iloc[lo : lo + rows]
+
+
 def _by_text(n: int, owner: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
     cut = np.searchsorted(owner, np.arange(n + 1))
     return [codes[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
@@ -374,7 +381,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[LabelModel, Classifier]:
     sample = strata[0].union(strata[1]).union(strata[2])
 
     def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _slices(batches):
             texts = b["text"].tolist()
             words = _by_text(len(texts), *coded(texts))
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"].astype("Int32"), "votes": [spell(votes(t)) for t in texts], "words": [w.tobytes() for w in words]})
@@ -388,7 +395,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[LabelModel, Classifier]:
     shared = spark.sparkContext.broadcast(lexicon)
 
     def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _slices(batches):
             texts = b["text"].tolist()
             mined = mined_votes(len(texts), *coded(texts), shared.value).tolist()
             yield pd.DataFrame({"doc_id": b["doc_id"], "votes": [spell([*votes(t), m]) for t, m in zip(texts, mined, strict=True)]})
@@ -424,10 +431,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo in range(0, len(b), 500):
-                part = b.iloc[lo : lo + 500]
-                s = model.value.scores(part["text"].tolist())
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"], "score": s, "predicted": (s >= THRESHOLD).astype(int)})
+        for b in _slices(batches):
+            s = model.value.scores(b["text"].tolist())
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "score": s, "predicted": (s >= THRESHOLD).astype(int)})
 
     return docs.select("doc_id", held.alias("held_out"), "text").mapInPandas(rows, "doc_id long, held_out boolean, score double, predicted int")
