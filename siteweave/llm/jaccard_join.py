@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteweave.llm.bytehash import U, forest, mix, pieces, shingle_sets
@@ -86,7 +86,7 @@ def _slot(s: np.ndarray) -> np.ndarray:
 
 def shared_least(n: int, percent: int) -> int:
     """q for sets of n shingles."""
-    return max(1, (100 - percent) * n // 400)
+    return max(1, (100 - percent) * n // 200)
 
 
 def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
@@ -150,40 +150,52 @@ def passing(docs: DataFrame, words: int, percent: int, counts: Broadcast, partit
                 seen.clear()
 
     shared = _scanned(docs.select("text").mapInArrow(rows, "shingle long, sig long, n long"), partitions_).groupBy("sig").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
-    # the smallest partner of n shingles has percent of them, which sets how many the two share at least
+    return durable(shared.filter(F.col("shared") >= _shared_with_smallest(percent)).select("sig"))
+
+
+def _shared_with_smallest(percent: int) -> Column:
+    """q for the smallest partner of sets of n shingles."""
     smallest = F.ceil(F.col("n") * percent / 100)
-    return durable(shared.filter(F.col("shared") >= F.greatest(F.lit(1), F.floor(smallest * (100 - percent) / 400))).select("sig"))
+    return F.greatest(F.lit(1), F.floor(smallest * (100 - percent) / 200))
 
 
-def signed(docs: DataFrame, words: int, percent: int, counts: Broadcast, only: Broadcast) -> DataFrame:
-    """doc_id, n (shingles), sig, and for sets that pass the filter, once a task, shingles and prefix (packed 64-bit hashes)."""
+def signed(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n (shingles) and sig of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for b, sets in _sets(batches, words):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())], ["doc_id", "n", "sig"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, sig long")
+
+
+def chosen(docs: DataFrame, words: int, only: Broadcast, packed: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
+    """sig, n and packed hashes of the sets that pass the filter, once a task. Made again wherever it is used: the sets are larger than the texts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, sets in _sets(batches, words):
             sigs = [signature(s) for s in sets]
-            pass_ = in_filter(only.value, np.array(sigs, np.int64))
-            kept, parts = [], []
-            for s, sig, ok in zip(sets, sigs, pass_.tolist(), strict=True):
-                ok = ok and len(s) > 0 and sig not in seen
-                if ok:
-                    seen.add(sig)
-                kept.append(s.tobytes() if ok else None)
-                parts.append(prefix(s, counts.value, percent).tobytes() if ok else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array(kept, pa.binary()), pa.array(parts, pa.binary())], ["doc_id", "n", "sig", "shingles", "prefix"])
+            own = {sig: s for s, sig, ok in zip(sets, sigs, in_filter(only.value, np.array(sigs, np.int64)).tolist(), strict=True) if ok and len(s) and sig not in seen}
+            seen.update(own)
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([len(s) for s in own.values()], pa.int64()), pa.array([x.tobytes() for x in packed(list(own.values()))], pa.binary())], ["sig", "n", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, sig long, shingles binary, prefix binary")
+    return docs.select("text").mapInArrow(rows, "sig long, n long, packed binary")
 
 
-def neighbourhoods(sets: DataFrame, partitions_: int) -> DataFrame:
-    """(sig, n, hub): the sets that share a shingle of their prefixes with the hub's prefix and have no lesser set for it."""
+def neighbourhoods(prefixes: DataFrame, percent: int, partitions_: int) -> DataFrame:
+    """(sig, n, hub): the neighbourhoods of several sets that the sets of prefixes(sig, n, packed) belong to."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs, sizes, parts = (b.column(c).to_pylist() for c in ("sig", "n", "prefix"))
+            sigs, sizes, parts = (b.column(c).to_pylist() for c in ("sig", "n", "packed"))
             yield _pairs(sigs, sizes, [np.frombuffer(x, U) for x in parts])
 
-    return durable(_scanned(sets.select("sig", "n", "prefix").mapInArrow(rows, "shingle long, sig long, n long"), partitions_).distinct())
+    counted = _scanned(prefixes.mapInArrow(rows, "shingle long, sig long, n long"), partitions_).groupBy("sig", "n", "hub").count()
+    few_first = Window.partitionBy("sig").orderBy("count", "hub").rowsBetween(Window.unboundedPreceding, 0)
+    kept = durable(counted.withColumn("sum", F.sum("count").over(few_first)).filter(2 * F.col("sum") >= _shared_with_smallest(percent)).select("sig", "n", "hub"))
+    several = kept.groupBy("hub").count().filter("count > 1").select("hub")
+    return durable(kept.join(several, "hub", "left_semi"))
 
 
 class _Node:
@@ -299,8 +311,8 @@ def _cells(members: DataFrame, sets: DataFrame, percent: int, partitions_: int)
 
 
 def links(sets: DataFrame, members: DataFrame, percent: int, partitions_: int) -> DataFrame:
-    """(src, dst) signatures: links that span the components of sets(sig, shingles), found in the neighbourhoods members(sig, n, hub)."""
-    sets = durable(sets.select("sig", "shingles").dropDuplicates(["sig"]))
+    """(src, dst) signatures: links that span the components of sets(sig, packed), found in the neighbourhoods members(sig, n, hub)."""
+    sets = sets.select("sig", F.col("packed").alias("shingles")).dropDuplicates(["sig"])
     sizes = members.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
     big = durable(sizes.filter("k > 1"))
     several = members.join(big, "hub", "left").select("sig", "hub", F.coalesce("k", F.lit(1)).alias("k"))
@@ -326,9 +338,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     n = partitions(docs.sparkSession, size)
     counts = context.broadcast(order_counts(docs, words, size))
     only = context.broadcast(key_filter(passing(docs, words, percent, counts, n)))
-    rows = durable(signed(docs, words, percent, counts, only))
-    sets = rows.filter("shingles is not null")
-    found = links(sets, neighbourhoods(sets, n), percent, n)
+    rows = durable(signed(docs, words))
+    prefixes = chosen(docs, words, only, lambda sets: [prefix(s, counts.value, percent) for s in sets])
+    found = links(chosen(docs, words, only, lambda sets: sets), neighbourhoods(prefixes, percent, n), percent, n)
     keyed = rows.filter("n > 0").select("doc_id", "n", "sig").join(found.toDF("sig", "low"), "sig", "left").select("doc_id", "n", F.coalesce("low", "sig").alias("key"))
     lowest = durable(keyed.groupBy("key").agg(F.min("doc_id").alias("component_id")))  # written: a join of two plain exchanges can split a hot key
     some = keyed.join(lowest, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
