@@ -169,29 +169,39 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, sig long")
 
 
-def chosen(docs: DataFrame, words: int, only: Broadcast, packed: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
-    """sig, n and packed hashes of the sets that pass the filter, once a task. Made again wherever it is used: the sets are larger than the texts."""
+def _chosen(batches: Iterator[pa.RecordBatch], words: int, only: np.ndarray) -> Iterator[dict[int, np.ndarray]]:
+    """By signature the sets that pass the filter, once a task. Made again wherever they are used: the sets are larger than the texts."""
+    seen: set[int] = set()
+    for _, sets in _sets(batches, words):
+        sigs = [signature(s) for s in sets]
+        own = {sig: s for s, sig, ok in zip(sets, sigs, in_filter(only, np.array(sigs, np.int64)).tolist(), strict=True) if ok and len(s) and sig not in seen}
+        seen.update(own)
+        yield own
+
+
+def chosen_sets(docs: DataFrame, words: int, only: Broadcast) -> DataFrame:
+    """sig and shingles (packed) of the sets that pass the filter."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, sets in _sets(batches, words):
-            sigs = [signature(s) for s in sets]
-            own = {sig: s for s, sig, ok in zip(sets, sigs, in_filter(only.value, np.array(sigs, np.int64)).tolist(), strict=True) if ok and len(s) and sig not in seen}
-            seen.update(own)
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([len(s) for s in own.values()], pa.int64()), pa.array([x.tobytes() for x in packed(list(own.values()))], pa.binary())], ["sig", "n", "packed"])
+        for own in _chosen(batches, words, only.value):
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([s.tobytes() for s in own.values()], pa.binary())], ["sig", "shingles"])
 
-    return docs.select("text").mapInArrow(rows, "sig long, n long, packed binary")
+    return docs.select("text").mapInArrow(rows, "sig long, shingles binary")
 
 
-def neighbourhoods(prefixes: DataFrame, percent: int, partitions_: int) -> DataFrame:
-    """(sig, n, hub): the neighbourhoods of several sets that the sets of prefixes(sig, n, packed) belong to."""
+def chosen_prefixes(docs: DataFrame, words: int, percent: int, counts: Broadcast, only: Broadcast) -> DataFrame:
+    """shingle, sig, n: the prefixes of the sets that pass the filter."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sigs, sizes, parts = (b.column(c).to_pylist() for c in ("sig", "n", "packed"))
-            yield _pairs(sigs, sizes, [np.frombuffer(x, U) for x in parts])
+        for own in _chosen(batches, words, only.value):
+            yield _pairs(list(own), [len(s) for s in own.values()], [prefix(s, counts.value, percent) for s in own.values()])
+
+    return docs.select("text").mapInArrow(rows, "shingle long, sig long, n long")
 
-    counted = _scanned(prefixes.mapInArrow(rows, "shingle long, sig long, n long"), partitions_).groupBy("sig", "n", "hub").count()
+
+def neighbourhoods(prefixes: DataFrame, percent: int, partitions_: int) -> DataFrame:
+    """(sig, n, hub): the neighbourhoods of several sets that the sets of prefixes(shingle, sig, n) belong to."""
+    counted = _scanned(prefixes, partitions_).groupBy("sig", "n", "hub").count()
     few_first = Window.partitionBy("sig").orderBy("count", "hub").rowsBetween(Window.unboundedPreceding, 0)
     kept = durable(counted.withColumn("sum", F.sum("count").over(few_first)).filter(2 * F.col("sum") >= _shared_with_smallest(percent)).select("sig", "n", "hub"))
     several = kept.groupBy("hub").count().filter("count > 1").select("hub")
@@ -311,8 +321,8 @@ def _cells(members: DataFrame, sets: DataFrame, percent: int, partitions_: int)
 
 
 def links(sets: DataFrame, members: DataFrame, percent: int, partitions_: int) -> DataFrame:
-    """(src, dst) signatures: links that span the components of sets(sig, packed), found in the neighbourhoods members(sig, n, hub)."""
-    sets = sets.select("sig", F.col("packed").alias("shingles")).dropDuplicates(["sig"])
+    """(src, dst) signatures: links that span the components of sets(sig, shingles), found in the neighbourhoods members(sig, n, hub)."""
+    sets = sets.dropDuplicates(["sig"])
     sizes = members.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
     big = durable(sizes.filter("k > 1"))
     several = members.join(big, "hub", "left").select("sig", "hub", F.coalesce("k", F.lit(1)).alias("k"))
@@ -339,8 +349,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     counts = context.broadcast(order_counts(docs, words, size))
     only = context.broadcast(key_filter(passing(docs, words, percent, counts, n)))
     rows = durable(signed(docs, words))
-    prefixes = chosen(docs, words, only, lambda sets: [prefix(s, counts.value, percent) for s in sets])
-    found = links(chosen(docs, words, only, lambda sets: sets), neighbourhoods(prefixes, percent, n), percent, n)
+    members = neighbourhoods(chosen_prefixes(docs, words, percent, counts, only), percent, n)
+    found = links(chosen_sets(docs, words, only), members, percent, n)
     keyed = rows.filter("n > 0").select("doc_id", "n", "sig").join(found.toDF("sig", "low"), "sig", "left").select("doc_id", "n", F.coalesce("low", "sig").alias("key"))
     lowest = durable(keyed.groupBy("key").agg(F.min("doc_id").alias("component_id")))  # written: a join of two plain exchanges can split a hot key
     some = keyed.join(lowest, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -36,6 +36,8 @@ from siteweave.llm.common import durable, free, in_filter, key_filter
 
 #: Lines in the rolling window, and the modulus that sets the mean chunk.
 WINDOW, EVERY = 2, 2
+#: Rows of a batch that are worked through at a time.
+ROWS = 500
 _MIX = 0x9E3779B97F4A7C15
 #: A rule that cuts a text into chunks: (first line, end line) of each, at most one from any line on.
 Rule = Callable[[str | None], list[tuple[int, int]]]
@@ -63,7 +65,7 @@ def _places(docs: DataFrame, rule: Rule, only: Broadcast | None = None) -> DataF
     """doc_id, first line, 128-bit hash in two longs and length of every chunk of two lines or more; with ``only``, of those whose h1 passes that filter, with their bytes."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (whole.iloc[lo : lo + ROWS] for whole in batches for lo in range(0, len(whole), ROWS)):
             out = []
             for i, t in zip(b["doc_id"], b["text"], strict=True):
                 lines = (t or "").encode("utf-8", "surrogatepass").split(b"\n")
@@ -112,7 +114,7 @@ def dedup_lines(docs: DataFrame, rule: Rule = chunks) -> DataFrame:
     joined, column = _with_removals(docs, rule)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             texts, gone = b.column("text").to_pylist(), b.column(column).to_pylist()
             new = [_kept(t, g, rule)[2] if g else t for t, g in zip(texts, gone, strict=True)]
             cols = dict(zip(b.schema.names, b.columns, strict=True))

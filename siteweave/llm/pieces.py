@@ -14,7 +14,7 @@ proportion to it: every hypothesis that leaves the queue becomes a segmentation,
 With each of the N best come the segments in which it differs from the best one and their piece ids, at most N - 1 of them; ``alternative`` puts
 them in the place of the best segmentation's ids.
 
-Plan: a pass with Arrow batches that encodes and one that decodes, no shuffle; the vocabulary (a fixed file of at most MAX_PIECES) is broadcast.
+Plan: one pass with Arrow batches that encodes and decodes again, no shuffle; the vocabulary (a fixed file of at most MAX_PIECES) is broadcast.
 Decoding is lossless: a literal ``▁`` is encoded as bytes. Defined results: null or empty text has no pieces and no scores;
 a text with fewer than N segmentations has fewer scores; ties keep the longer last piece.
 """
@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from siteweave.llm.bytehash import U, powers
@@ -41,8 +40,8 @@ N_BEST = 4
 SEGMENT = re.compile(r" *[^ \n]+| +|\n")
 #: Segments up to this length are vectorised; the cache is emptied beyond so many.
 VECTOR_CHARS, CACHED = 48, 400_000
-#: Ids in the cache beyond which it is emptied; long segments: starts in a block, and length up to which the edges are held.
-CACHED_IDS, BLOCK, HELD_CHARS = 20_000_000, 1 << 18, 1 << 21
+#: Ids of best and of other segmentations beyond which the cache is emptied; long segments: starts in a block, and length up to which the edges are held.
+CACHED_IDS, CACHED_OTHERS, BLOCK, HELD_CHARS = 10_000_000, 500_000, 1 << 18, 1 << 21
 #: Scores are multiples of 1 / GRAIN.
 GRAIN = 1 << 20
 _CODE_BASE = 0xC6BC279692B5C323
@@ -368,8 +367,10 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None], n: int = N_BEST) -> tuple[np.ndarray, np.ndarray, list[list[float]], list[list[list[tuple[int, list[int]]]]]]:
         """Of many texts: all ids of the best segmentations, their number by text, the n best scores, and for each of these the segments that differ (number, ids)."""
-        if len(self._known) > CACHED or self._used + self._held > CACHED_IDS:
+        if len(self._known) > CACHED or self._used > CACHED_IDS:
             self._clear()
+        if self._held > CACHED_OTHERS:
+            self._alternatives, self._held = {}, 0
         known, segs, sizes = self._known, [], []
         for t in texts:
             own = SEGMENT.findall(f" {t}") if t else []
@@ -483,31 +484,31 @@ def _changes(found: list[list[list[tuple[int, list[int]]]]]) -> pa.ListArray:
 
 
 def encode(docs: DataFrame, n: int = N_BEST, path: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces, ids, n_best_scores (best first), n_best_changes (per segmentation: changed segments with their ids), round_trip (decode() gives the text back)."""
+    """doc_id, n_pieces, ids, n_best_scores (best first), n_best_changes (per segmentation: changed segments with their ids), round_trip (the Decoder that decode() uses gives the text back, in the same worker)."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoders.get(path)
         if enc is None:
             enc = _encoders[path] = Encoder(*vocabulary.value)
+        back = Decoder(enc.out)
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 b = whole.slice(lo, 500)
                 texts = b.column("text").to_pylist()
                 ids, sizes, scores, changes = enc.encode_all(texts, n)
-                offsets = np.cumsum(np.append(0, sizes)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, sizes)).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id"),
-                        b.column("text"),
                         pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
+                        lists,
                         pa.array(scores, pa.list_(pa.float64())),
                         _changes(changes),
+                        pa.compute.equal(back.texts(lists), pa.compute.fill_null(b.column("text"), "")),
                     ],
-                    names=["doc_id", "text", "n_pieces", "ids", "n_best_scores", "n_best_changes"],
+                    names=["doc_id", "n_pieces", "ids", "n_best_scores", "n_best_changes", "round_trip"],
                 )
 
-    schema = "doc_id long, text string, n_pieces long, ids array<int>, n_best_scores array<double>, n_best_changes array<array<struct<segment: int, ids: array<int>>>>"
-    encoded = decode(docs.select("doc_id", "text").mapInArrow(rows, schema), path)
-    return encoded.select("doc_id", "n_pieces", "ids", "n_best_scores", "n_best_changes", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    schema = "doc_id long, n_pieces long, ids array<int>, n_best_scores array<double>, n_best_changes array<array<struct<segment: int, ids: array<int>>>>, round_trip boolean"
+    return docs.select("doc_id", "text").mapInArrow(rows, schema)

@@ -34,6 +34,8 @@ KEEP_SHARE = 0.25
 COMMON_SHARE, COMMON_LEAST = 0.0025, 20
 #: Chains are cut into pieces of so many lines for training.
 PIECE = 100
+#: Rows of a batch that are worked through at a time.
+ROWS = 500
 WINDOW = 8
 SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
@@ -299,7 +301,7 @@ def judge(docs: DataFrame, labels: DataFrame, keep_share: float = KEEP_SHARE) ->
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (whole.iloc[lo : lo + ROWS] for whole in batches for lo in range(0, len(whole), ROWS)):
             yield pd.DataFrame([(i, *verdict(t, *model.value, keep_share)) for i, t in zip(b["doc_id"], b["text"], strict=True)], columns=COLUMNS).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(rows, SCHEMA)
@@ -322,7 +324,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep_share: float = KEEP_SHARE
     model, schema = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)), docs.schema
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             keep = [verdict(t, *model.value, keep_share)[6] for t in b.column("text").to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 

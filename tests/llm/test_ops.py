@@ -591,6 +591,9 @@ def test_pipeline_cuts_short_passages(spark):
         docs = [(i, "\n".join([*a, *passage, *z])) for i, (a, z) in enumerate(parts)]
         got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), DATA).collect()}
         assert got == {i: "\n".join([*a, *passage * (i == 0), *z]) for i, (a, z) in enumerate(parts)}
+        copies = [(100, docs[0][1]), (101, ""), (102, None)]
+        got = {r["doc_id"] for r in corpus_pipeline.lines(spark, spark.createDataFrame([*docs, *copies], "doc_id long, text string"), DATA).collect()}
+        assert got == set(range(12))
 
 
 def test_pipeline(spark):
