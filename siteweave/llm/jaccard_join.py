@@ -2,7 +2,7 @@
 
 Two documents link when 100 * |intersection| >= percent * |union|. Without caps on partners:
 
-1. ``order_counts``: shingles are counted in a bounded sample, in SLOTS counters. (count, hash) is the global order of shingles, frequent ones last. Any
+1. ``order_counts``: the shingles of all texts are counted, in SLOTS counters. (count, hash) is the global order of shingles, frequent ones last. Any
    order gives the same links; this one keeps frequent shingles out of prefixes.
 2. ``passing``: sets that link share at least q shingles among the first n - ceil(percent * n / 100) + q of either. Rows (shingle, set) of these prefixes
    are dealt by shingle, sorted and scanned in a stream; a set with fewer than q shared shingles leaves, as most do. q is a
@@ -41,8 +41,8 @@ from siteweave.llm.components import components
 
 #: Most sets and shingles of a block.
 BLOCK_SETS, BLOCK_SHINGLES = 500, 1_000_000
-#: Counters of the order, the least count that they keep, and bytes of text of the sample.
-SLOTS, COUNTED, SAMPLE_BYTES = 1 << 21, 3, 1 << 24
+#: Counters of the order, and how many of them are summed as one row.
+SLOTS, SLOT_RUN = 1 << 21, 1 << 10
 
 
 def signature(s: np.ndarray) -> int:
@@ -59,25 +59,40 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Re
             yield b, [s for _, run in pieces(b.column("text").to_pylist()) for s in shingle_sets(run, words)]
 
 
+def _packed_runs(runs: list[int], n: list[np.ndarray]) -> pa.RecordBatch:
+    """(run, n): runs of counters as bytes, in the narrowest type that holds the largest."""
+    packed = [x.astype(np.min_scalar_type(x.max())).tobytes() for x in n]
+    return pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array(packed, pa.binary())], ["run", "n"])
+
+
+def _counters(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // SLOT_RUN}").astype(np.int64)
+
+
 def order_counts(docs: DataFrame, words: int, size: int) -> np.ndarray:
-    """Counters of the shingles of a sample of about SAMPLE_BYTES; at most SLOTS rows are collected."""
-    sample = docs.sample(SAMPLE_BYTES / size, seed=11) if size > SAMPLE_BYTES else docs
+    """Counters of the shingles of all texts (size bytes); at most SLOTS / SLOT_RUN rows are collected."""
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
         for _, sets in _sets(batches, words):
             for s in sets:
                 np.add.at(n, _slot(s), 1)
-        own = np.flatnonzero(n)
-        for lo in range(0, len(own), 100_000):
-            part = own[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], ["slot", "n"])
-
-    counted = sample.select("text").mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= COUNTED)
-    rows = counted.toPandas()
-    out = np.zeros(SLOTS, np.uint32)
-    out[rows["slot"].to_numpy(np.int64)] = np.minimum(rows["n"].to_numpy(np.int64), 0xFFFFFFFF)
-    return out
+        runs = n.reshape(-1, SLOT_RUN)
+        own = np.flatnonzero(runs.any(axis=1))
+        yield _packed_runs(own.tolist(), list(runs[own]))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for run, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sums[run] = sums.get(run, 0) + _counters(raw)
+        yield _packed_runs(list(sums), list(sums.values()))
+
+    parts = docs.select("text").mapInArrow(counted, "run long, n binary").repartition(partitions(docs.sparkSession, size), "run")
+    out = np.zeros((SLOTS // SLOT_RUN, SLOT_RUN), np.uint32)
+    for run, raw in parts.mapInArrow(summed, "run long, n binary").collect():
+        out[run] = np.minimum(_counters(raw), 0xFFFFFFFF)
+    return out.ravel()
 
 
 def _slot(s: np.ndarray) -> np.ndarray:

@@ -231,6 +231,21 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, block):
         assert 10 < len({c for _, _, c in want}) < len(texts) - 20
 
 
+def test_order_counts_every_text(spark):
+    docs = spark.range(24).withColumn("text", F.expr("array_join(transform(sequence(0, 150000), x -> concat(if(x < 75000, 'w', concat('w', id, '-')), x)), ' ')"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert size > 1 << 24
+    want = np.zeros(jaccard_join.SLOTS, np.int64)
+    for (text,) in docs.select("text").toLocalIterator():
+        words = text.split()
+        grams = jaccard_join.shingle_sets([text.encode()], 5)[0]
+        assert len(grams) == len(words) - 4
+        np.add.at(want, (grams % np.uint64(jaccard_join.SLOTS)).astype(np.int64), 1)
+    assert np.array_equal(jaccard_join.order_counts(docs, 5, size), want)
+    few = spark.createDataFrame([("a b c d e f",), (None,), ("a b c d e x",)], "text string")
+    assert sorted(n for n in jaccard_join.order_counts(few, 5, 22).tolist() if n) == [1, 1, 2]
+
+
 def test_hubs_in_batches_of_any_size():
     import pyarrow as pa
 
