@@ -43,6 +43,8 @@ LENGTH = 100
 ROUNDS = (0.5, 0.75, 1.0)
 #: Bytes in a piece of text (with the index of a byte in INDEX bits), runs in a task's memory, bytes of the sample, occurrences in the sample that make a rank frequent.
 PIECE_BYTES, INDEX, FLUSH_RUNS, SAMPLE_BYTES, FREQUENT = 1 << 18, 20, 150_000, 1 << 24, 8
+#: Rows and bytes of an Arrow batch that a task holds as Python objects; a row of more bytes stands alone.
+SLICE_ROWS, SLICE_BYTES = 128, 1 << 22
 #: Ranks have RANK bits; above them a frequent rank, dealt by name, and a row that is settled already, dealt by document.
 RANK = 40
 SPLIT, SETTLED = 1 << RANK, 1 << (RANK + 1)
@@ -191,19 +193,24 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([np.concatenate(x) for x in zip(*out, strict=True)], _ANSWER_ARROW)
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[dict[str, list]]:
-    """A few rows of Arrow batches at a time as lists."""
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows of Arrow batches at a time."""
     for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows).to_pydict()
+        lo = 0
+        while lo < b.num_rows:
+            part = b.slice(lo, SLICE_ROWS)
+            while part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            lo += part.num_rows
 
 
 def _open_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, np.ndarray | None]]:
     unzip = zstandard.ZstdDecompressor()
-    for b in _sliced(batches):
+    for b in (x.to_pydict() for x in _sliced(batches)):
         if "text" in b:
             for i, h, t in zip(b["id"], b["hash"], b["text"], strict=True):
-                yield i, h, (t or "").encode("utf-8", "surrogatepass"), None
+                yield i, h, t or b"", None
         else:
             for i, h, p, o in zip(b["id"], b["hash"], b["packed"], b["open"], strict=True):
                 yield i, h, unzip.decompress(p), np.frombuffer(o, np.int64).reshape(-1, 2)
@@ -284,7 +291,7 @@ def _advanced(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        for b in _sliced(batches):
+        for b in (x.to_pydict() for x in _sliced(batches)):
             out = []
             for doc_id, i, h, packed, old, gone, left in zip(*(b[c] for c in ("doc_id", "id", "hash", "packed", "ranges", "gone", "left")), strict=True):
                 before = np.frombuffer(old or b"", np.int64).reshape(-1, 2)
@@ -315,13 +322,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
-                texts = [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "id", "hash")), pa.array(texts, pa.binary()), pa.nulls(len(texts), pa.binary())], ["doc_id", "id", "hash", "packed", "ranges"])
+        for part in _sliced(batches):
+            texts = [z.compress(t or b"") for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "id", "hash")), pa.array(texts, pa.binary()), pa.nulls(len(texts), pa.binary())], ["doc_id", "id", "hash", "packed", "ranges"])
 
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_identity(), "text")
+    # as bytes: as Python strings, texts take up to four bytes a character
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_identity(), F.col("text").cast("binary").alias("text"))
     ranked_from = whole.select("id", "hash", "text")
     texts = whole.mapInArrow(packed, "doc_id long, id long, hash long, packed binary, ranges binary")
     done = None

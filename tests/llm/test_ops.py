@@ -625,6 +625,33 @@ def test_ranks_spread():
     assert per_bucket.max() < 2 * per_bucket.mean()
 
 
+def test_suffix_slices_are_bounded_in_bytes():
+    import pyarrow as pa
+
+    sizes = [200_000] * 40 + [9_000_000] + [10] * 500
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([b"x" * n for n in sizes])], ["id", "text"])
+    parts = list(suffix_dedup._sliced(iter([batch, batch.slice(0, 0)])))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert all(p.num_rows == 1 or p.nbytes <= 1 << 22 for p in parts)
+    assert all(p.num_rows <= 128 for p in parts) and len(parts) < 30
+
+
+def test_suffix_holds_few_bytes_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, packed = 100, random.Random(3).randbytes(500_000)
+    columns = [list(range(n)), list(range(n)), [0] * n, [packed] * n, [None] * n, [None] * n, [[0]] * n]
+    types = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.list_(pa.int64())] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "id", "hash", "packed", "ranges", "gone", "left"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in suffix_dedup._advanced(100)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and peak < 16 << 20
+
+
 def test_scan_in_batches_of_any_size():
     import pyarrow as pa
 
