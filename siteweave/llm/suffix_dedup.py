@@ -8,7 +8,8 @@ reached LENGTH. Names are fingerprints, so a pair is named without another sort,
   it at equal offsets. Strings with one such gram are consecutive starts, a run, which is one row.
 * A row also has the name of its whole run. Runs of equal rank and name are equal in all their strings: all but the first are settled at once
   (each string starts earlier in the first). First runs leave if their rank has no other run, else they go on to the next length.
-* At h = LENGTH each start is its own run, so nothing is left open.
+* At h = LENGTH each start is its own run, so nothing is left open: a first start that shares its rank with other names (ranks have 40 bits
+  and collide) stays as it is.
 
 Plan of a round: tasks send a plain row per run, the copies that they see themselves settled before; rows are dealt by rank, sorted, and
 scanned in a stream that holds one row. Partitions follow the counted bytes of text, and the rows of a byte don't depend on their number. Ranks that
@@ -336,6 +337,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         split = frequent_ranks(ranked_from, size, n, h, length) if done is None else {}
         rows = ranked_from.mapInArrow(_ranked(h, length, split), _ROW)
         answers = rows.repartition(n, "rank").sortWithinPartitions("rank", "name", "id", "place").mapInArrow(_scan, "id long, place long, open boolean")
+        if share == ROUNDS[-1]:
+            answers = answers.filter(~F.col("open"))  # colliding ranks: these strings differ
         placed = answers.select("id", F.shiftright("place", SPAN + START).alias("hash"), "place", "open").repartition(n, "id", "hash").groupBy("id", "hash")
         gathered = placed.agg(F.collect_list(F.when(~F.col("open"), F.col("place"))).alias("gone"), F.collect_list(F.when(F.col("open"), F.col("place"))).alias("left"))
         state = texts.repartition(n, "id", "hash").join(gathered.hint("merge"), ["id", "hash"], "left").select("doc_id", "id", "hash", "packed", "ranges", "gone", "left").mapInArrow(_advanced(length), _STATE)

@@ -652,6 +652,27 @@ def test_suffix_holds_few_bytes_at_once():
     assert rows == n and peak < 16 << 20
 
 
+def test_suffix_keeps_documents_whose_ranks_collide(spark, monkeypatch):
+    import pyarrow as pa
+
+    ranked, settled = suffix_dedup._ranked, suffix_dedup.SETTLED
+
+    def crowded(*args):
+        rows = ranked(*args)
+
+        def few(batches):
+            for b in rows(batches):
+                rank = b.column("rank").to_numpy()
+                yield b.set_column(0, "rank", pa.array(np.where(rank < settled, rank % 3, rank)))
+
+        return few
+
+    docs = spark.createDataFrame(list(enumerate([*made(random.Random(2)), "ab" * 120, "b" + "ab" * 100])), "doc_id long, text string")
+    want = sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect()))
+    monkeypatch.setattr(suffix_dedup, "_ranked", crowded)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect())) == want
+
+
 def test_scan_in_batches_of_any_size():
     import pyarrow as pa
 
