@@ -110,8 +110,9 @@ def resolved_elements(targets: DataFrame, elements: DataFrame) -> DataFrame:
     """(page_id, id, element, rule): the first element that a target's id, text, first class or label finds, in this order of rules.
 
     targets(page_id, id, tag_name, text_content, class_names, element_id, aria_label); elements(page_id, element, same fields).
+    Both sides have rows for every page: files of few compressed bytes may not make one of them a broadcast, which the driver holds whole.
     """
-    t, e = targets.alias("t"), elements.alias("e")
+    t, e = targets.hint("merge").alias("t"), elements.alias("e")
     tag = F.col("t.tag_name") == F.col("e.tag_name")
     first_class = F.element_at(F.split("t.class_names", " "), 1)
     rules = [

@@ -177,3 +177,15 @@ def test_content_of_odd_markup(spark):
     r = html.dom_content(spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", "<h1>H <b>i</b></h1><p>z")], "page_id long, url string, html string")).orderBy("page_id").collect()
     assert (r[0]["title"], r[0]["description"], r[0]["text_content"]) == ("A é — B", "de&s", "A é — BHx y")
     assert tuple(r[1])[2:] == ("", "", "") and r[2]["description"] == "H i"
+
+
+def test_elements_are_not_broadcast(spark):
+    """Pages compress well: a threshold that files and estimates stay below must not bring all of them to the driver."""
+    fields = ("tag_name", "text_content", "class_names", "element_id", "aria_label")
+    pages = spark.range(50).withColumnRenamed("id", "page_id")
+    targets = pages.select("page_id", F.lit(0).alias("id"), *(F.lit("b").alias(n) for n in fields))
+    elements = pages.select("page_id", F.explode(F.lit([10, 11])).alias("element"), *(F.lit("b").alias(n) for n in fields))
+    got = dynamic.resolved_elements(targets, elements)
+    rows = got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in rows) == [(k, 0, 10, 0) for k in range(50)]
