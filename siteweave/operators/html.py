@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -44,12 +44,12 @@ def dom_links(pages: DataFrame, strict: bool = False, markup: bool = True) -> Da
     return pages.select("page_id", "url", "html").mapInPandas(rows, LINK_SCHEMA)
 
 
-def dom_content(pages: DataFrame) -> DataFrame:
-    """page_content() for any markup: attributes in any order and case, every character reference, unclosed tags."""
+def dom_content(pages: DataFrame, entities: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """page_content() for any markup: attributes in any order and case, every character reference, unclosed tags. With entities, by the rules that dom.content() states for them; null html then gives nulls."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [dom.content(h or "") for h in b["html"]]
+            found = [(None, None, None) if h is None and entities is not None else dom.content(h or "", entities=entities) for h in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], **{c: [x[k] for x in found] for k, c in enumerate(("title", "description", "text_content"))}})
 
     return pages.select("page_id", "url", "html").mapInPandas(rows, "page_id long, url string, title string, description string, text_content string")

@@ -78,7 +78,7 @@ def page_content(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_CONTENT)
 def page_content_dom(spark: SparkSession, d: str) -> DataFrame:
-    return html.dom_content(_pages(spark, d))
+    return html.dom_content(_pages(spark, d), text.ENTITIES)
 
 
 @query(f"select page_id, length(title) as title_chars, length(text_content) as text_chars from ({_CONTENT}) where title <> '' or text_content <> ''")

@@ -189,3 +189,25 @@ def test_elements_are_not_broadcast(spark):
     rows = got.collect()
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in rows) == [(k, 0, 10, 0) for k in range(50)]
+
+
+def test_dom_content_by_the_rules_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    bodies = [
+        "<title>A &amp</title><h1 id=x>A &amp</h1>B &amp;C",
+        "<title>&eacute; &#x2014; &copy</title><h1>&AMP; &amp;lt; <i>&lt;b&gt;</i></h1><p>a &nbsp b&nbsp;&nbsp;c &am<b>p;</b> &#39;&quot;&middot;</p>",
+        "<title>\u00a0T\u3000\v</title><h1> \u2003H\f</h1><p>x\u2028y\x85z\vq\x1c\fr\r\r\ns   t\u00a0</p>",
+        '<html><head><meta name="description" content="m"><title></title></head><body><h1>H</h1><script>a &amp b</script><style>c</style><!-- d --></body></html>',
+        '<meta name="description" content="m"><p>no heading</p>',
+        "<h1></h1><p>" + "\u00e9\U0001f600 " * 2000 + "</p>",
+        "",
+        None,
+    ]
+    spark.createDataFrame([(k, f"https://s.test/{k}", b) for k, b in enumerate(bodies)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    df = entry.queries()["page_content_dom"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.collect()) == sorted(con.execute(f"select {', '.join(df.columns)} from ({entry.oracle_sql()['page_content_dom']})").fetchall())
